@@ -51,6 +51,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_decontaminate, op4_token_output, op8_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_decontaminate, op4_token_output, op8_quality_rules, op9_toxicity, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

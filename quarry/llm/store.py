@@ -34,3 +34,8 @@ def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop shuffle files of finished stages now rather than at its next collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, mb: int = 16) -> None:
+    """Bound the Arrow batches that Python stages get by bytes, for rows that hold long texts or lists."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
