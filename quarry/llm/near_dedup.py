@@ -7,7 +7,7 @@ if their weighted Jaccard similarity is THRESHOLD or more; classes are the conne
 Signature: every unit of an element's weight is a region of its own, over which darts are thrown at hashed rising
 ranks, each to a hashed coordinate; of each coordinate the earliest dart is kept, named by its rank. The number of darts follows the
 number of coordinates, not the text's length. BANDS bands of ROWS coordinates miss a pair at the threshold with a
-probability of (1 - 0.8^4)^32 = 5e-8.
+probability of (1 - 0.8^4)^24 = 3e-6.
 
 Rows with equal texts are one representative (aggregated before anything is joined). A bucket's texts are ordered by
 the values of their next band, so that close ones are neighbours, and each is paired with the closest of the few
@@ -36,12 +36,14 @@ from quarry.llm.textcore import Words, gram_hash, mix, text_chunks
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 4
 COORDINATES = 512
 #: Signatures that agree on less than this share of coordinates can't be of a link (4.4 standard errors).
 ESTIMATE = THRESHOLD - 4.4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 #: Rows before it, in its bucket's order, of which a text is compared with the closest.
 LOOK_BACK = 16
+#: Texts of at most this many shingles carry them into their buckets, where they are compared exactly at once.
+CARRIED = 256
 #: Partners by rank of estimate, in a bucket, that each round takes.
 ROUNDS = ((0, 2), (2, None))
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -110,12 +112,15 @@ def _sign(batches):
         sig = darts(units(g, doc), doc, n, COORDINATES)
         keys = bands(sig, BANDS, ROWS).view(np.int64)
         short = (sig >> np.uint64(56)).astype(np.uint8)
+        u32 = (units(g, doc) >> np.uint64(32)).astype("<u4")
+        cut = np.searchsorted(doc, np.arange(n + 1)).tolist()
+        own = [u32[a:b].tobytes() if b - a <= CARRIED else None for a, b in zip(cut, cut[1:])]
         known = rows.column("text").is_valid().to_pylist()
         full = words.counts > 0
         digest = [hashlib.blake2b(buf[a:b], digest_size=16).digest() if v else None for a, b, v in zip(off, off[1:], known)]
         lists = [x if f else [] for x, f in zip(keys, full)]
-        cols = [rows.column("doc_id"), pa.array(digest, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "sig"])
+        cols = [rows.column("doc_id"), pa.array(digest, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(own, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "sig", "own"])
 
 
 def _sigs(batch) -> np.ndarray:
@@ -150,6 +155,15 @@ def _neighbours(batches):
         yield _pairs(rep[at], rep[mate[at]])
 
 
+def _alike(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if min(len(x), len(y)) < (THRESHOLD - 0.01) * max(len(x), len(y)):
+        return False
+    z = np.sort(np.concatenate([x, y]))
+    both = np.count_nonzero(z[1:] == z[:-1])
+    return both >= (THRESHOLD - 0.01) * (len(z) - both)
+
+
 def _outsiders(lo: int, hi: int | None):
     """Plausible pairs of different classes, of ranks lo to hi by estimate, in rows sorted by bucket, outsiders first."""
 
@@ -159,15 +173,16 @@ def _outsiders(lo: int, hi: int | None):
         def close():
             a, b = [], []
             for x, found in zip(out[0] if out else [], best):
-                found.sort()
-                for _, y in found[lo:hi]:
-                    a.append(x)
-                    b.append(y)
+                found.sort(key=lambda f: f[:2])
+                for _, y, mine, its in found[lo:hi]:
+                    if mine is None or its is None or _alike(mine, its):
+                        a.append(x)
+                        b.append(y)
             return _pairs(a, b)
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "rep", "label", "outside")]
-            sig = _sigs(batch)
+            sig, own = _sigs(batch), np.array(batch.column("own").to_pylist(), object)
             for part in np.split(np.arange(len(sig)), np.flatnonzero(np.diff(cols[0])) + 1):
                 if not len(part):
                     continue
@@ -178,7 +193,7 @@ def _outsiders(lo: int, hi: int | None):
                 s = sig[part]
                 if outside.any():
                     o = np.flatnonzero(outside)
-                    mine = (rep[o], label[o], s[o])
+                    mine = (rep[o], label[o], s[o], own[part][o])
                     out = mine if out is None else tuple(np.concatenate(x) for x in zip(out, mine))
                     best += [[] for _ in o]
                 if out is None:
@@ -186,7 +201,7 @@ def _outsiders(lo: int, hi: int | None):
                 for k in range(len(best)):
                     est = np.count_nonzero(s == out[2][k], axis=1)
                     for j in np.flatnonzero((est >= ESTIMATE * COORDINATES) & (label != out[1][k])):
-                        best[k].append((-int(est[j]), int(rep[j])))
+                        best[k].append((-int(est[j]), int(rep[j]), out[3][k], own[part[j]]))
         yield close()
 
     return run
@@ -241,26 +256,32 @@ class _Classes:
     def __init__(self, docs: DataFrame):
         small_batches(docs.sparkSession)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.signed = written(rows.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary"), "signed")
+        self.signed = written(rows.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary, own binary"), "signed")
         same = self.signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
         self.reps = written(same, "reps")
         self.docs = rows
         # the signatures of representatives; rows that share an id add buckets to it but change no link
-        own = self.signed.select("doc_id", "bands", "sig").where(F.size("bands") > 0).join(self.reps.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
-        own = written(own.select(F.col("doc_id").alias("rep"), "bands", "sig"), "own")
-        nxt = F.element_at("bands", ((F.col("i") + 1) % BANDS + 1).cast("int"))
-        flat = own.select("rep", "bands", F.posexplode("bands").alias("i", "bucket")).select("bucket", "rep", nxt.alias("next"))
+        ids = self.reps.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
+        own = written(self.signed.where(F.size("bands") > 0).hint("merge").join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").drop("digest"), "own")
+        flat = own.select("rep", F.explode("bands").alias("bucket"))
         shared = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        self.slim = written(flat.join(shared, "bucket", "left_semi"), "slim")
+        members = written(flat.hint("merge").join(shared, "bucket", "left_semi"), "members")
+        release(docs.sparkSession)
+        sigs = own.hint("merge").join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first(F.struct("bands", "sig", "own")).alias("s"))
+        self.sigs = written(sigs.select("rep", "s.*"), "sigs")
+        nxt = F.try_element_at("bands", ((F.array_position("bands", F.col("bucket")) % BANDS) + 1).cast("int"))
+        self.slim = written(members.join(self.sigs.select("rep", "bands"), "rep").select("bucket", "rep", nxt.alias("next")), "slim")
+        self.sigs = self.sigs.drop("bands")
+        # only texts that share a bucket are ever compared: their shingles are made once
+        needed = self.sigs.select(F.col("rep").alias("doc_id"))
+        texts = self.docs.hint("merge").join(needed, "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shingle_rows, "rep long, g array<long>")
+        self.texts = written(texts, "shingles")
         release(docs.sparkSession)
-        sigs = own.groupBy("rep").agg(F.first("sig").alias("sig")).join(self.slim.select("rep").distinct(), "rep", "left_semi")
-        self.sigs = written(sigs, "sigs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) in the shared folder: those that are links."""
-        needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(needed, "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shingle_rows, "rep long, g array<long>").dropDuplicates(["rep"])
-        texts = written(texts, "shingles")
+        ids = written(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "ids")
+        texts = self.texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"])
         joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(texts.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
         # sizes too different for a link keep a hopeless pair from being compared
         la, lb = F.size("ga"), F.size("gb")
