@@ -39,6 +39,24 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import quality_rules
 
@@ -64,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_decontaminate, op4_token_output, op8_quality_rules, op9_toxicity, op10_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_decontaminate, op4_token_output, op5_suffix_dedup, op6_license_scan, op7_language_id, op8_quality_rules, op9_toxicity, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
