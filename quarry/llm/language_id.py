@@ -20,10 +20,11 @@ from quarry.llm.features import fold
 
 FOLDS, HELD_OUT = 3, 1
 #: The dictionaries are fitted on about SAMPLE documents a language, PIECE bytes of each, DICTIONARY bytes in all.
-SAMPLE, PIECE, DICTIONARY = 300, 1_200, 110_000
+SAMPLE, PIECE, DICTIONARY = 300, 1_200, 64_000
 LANGUAGES = 200
 BLOCK = 4_096
-LEVEL = 1
+#: Matches of four bytes and up count; letters are compared in lower case.
+LEVEL, SHORTEST = 6, 4
 MARGIN = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -43,7 +44,7 @@ def dictionaries(docs: DataFrame, use) -> dict[str, bytes]:
     out: dict[str, bytes] = {}
     for r in picked.orderBy("h", "lang", "piece").limit(4 * SAMPLE * len(counts)).collect():
         if len(out.get(r.lang, b"")) < DICTIONARY:
-            out[r.lang] = out.get(r.lang, b"") + r.piece.encode() + b"\n"
+            out[r.lang] = out.get(r.lang, b"") + r.piece.lower().encode() + b"\n"
     return {k: v[:DICTIONARY] for k, v in sorted(out.items())}
 
 
@@ -55,14 +56,15 @@ class Classifier:
         self.packers = []
         for name in self.names:
             d = z.ZstdCompressionDict(content[name], dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.packers.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            how = z.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content[name]), source_size=BLOCK, strategy=z.STRATEGY_LAZY, min_match=SHORTEST, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=how)
+            self.packers.append(z.ZstdCompressor(dict_data=d, compression_params=how))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, sure). The score is the winner's share when sizes are weighed exponentially by margin."""
         if not text or not self.names or not _LETTER.search(text):
             return "und", 0.0, False
-        data = text.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         sizes = [sum(len(p.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) for p in self.packers]
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         best = sizes[order[0]]
