@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import reports
+from quarry.plans import graphs, reports, texts
 
-_MODULES = (reports,)
+_MODULES = (reports, graphs, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
