@@ -123,8 +123,6 @@ def _settle(batches):
         yield out(x[2][again], x[3][again], COVER)
         first = x[:, lead[-1:]]
         f = x[:, new]
-        if held is not None:  # its column is there again, as the first one
-            pass
         same = f[0, 1:] == f[0, :-1]
         many = np.zeros(f.shape[1], bool)
         many[1:] |= same
@@ -236,7 +234,7 @@ def covered(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, in
     left = [b[:k][::-1] for _, _, k, b in group]
     order = deep_shallow(right)
     depth = [common(right[i], right[j]) for i, j in zip(order, order[1:])]
-    found: dict[int, set[tuple[int, int]]] = {}
+    found: dict[int, tuple[int, int]] = {}  # all spans of a member hold its place, so their union is one span
     # every interval of the common-prefix table is a node: its members share ``least`` bytes to the right
     open_: list[tuple[int, int]] = []
     nodes = []
@@ -253,10 +251,11 @@ def covered(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, in
             k = bisect.bisect_left(seen, left[m])
             best = max((common(left[m], seen[j]) for j in (k - 1, k) if 0 <= j < len(seen)), default=-1)
             if best >= 0 and best + least >= LENGTH:
-                found.setdefault(m, set()).add((best, least))
+                x, y = found.get(m, (0, 0))
+                found[m] = (max(x, best), max(y, least))
             if k == len(seen) or seen[k] != left[m]:
                 seen.insert(k, left[m])
-    return [(group[m][0], group[m][1] - x, group[m][1] + y) for m, s in found.items() for x, y in s]
+    return [(group[m][0], group[m][1] - x, group[m][1] + y) for m, (x, y) in found.items()]
 
 
 SPAN = "doc long, lo int, hi int"
