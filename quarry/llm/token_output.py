@@ -28,7 +28,7 @@ from quarry.llm.textcore import span_hash, text_chunks
 
 END_ID = 2
 SHARD_BYTES = 24_000_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qB")
 
