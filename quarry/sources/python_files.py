@@ -18,9 +18,29 @@ from quarry.functions.scalar import glob_regex
 SKIPPED = "__pycache__ .git .hg .svn .tox .venv build dist env node_modules site-packages venv .mypy_cache .pytest_cache .ruff_cache .eggs".split()
 
 
+def _underscored(spark: SparkSession, root: str, most: int = 100_000) -> DataFrame:
+    """Files whose names begin with an underscore, which Spark's readers hide: the driver lists and reads them through
+    the Hadoop file system. They are package markers in the main; more than ``most`` are an error, not a cut."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, it = [], fs.listFiles(top, True)
+    while it.hasNext():
+        p = it.next().getPath()
+        if p.getName().startswith("_") and p.getName().endswith((".py", ".pyi")):
+            if len(found) == most:
+                raise ValueError(f"more than {most} underscored files under {root}")
+            stream = fs.open(p)
+            try:
+                found.append((p.toString(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            finally:
+                stream.close()
+    return spark.createDataFrame(found, "path string, content binary")
+
+
 def scan(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*.py", "**/*.pyi"), exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, module, content of the Python files under ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py*").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py*").load(root).select("path", "content").unionByName(_underscored(spark, root))
     rel = F.regexp_replace("path", "^.*?" + root.removeprefix("file://").rstrip("/").replace(".", r"\."), "").substr(2, 1 << 20)
     x = files.select(rel.alias("path"), F.col("content"))
     keep = F.lit(False)
