@@ -25,8 +25,9 @@ def content_hash(spark, d):
 
 
 def clone_pairs(spark, d):
-    """Pairs of documents whose 4-gram sets are similar, exactly, by prefix filtering."""
-    return R.similar_pairs(R.features(_t(spark, d, "documents"), "doc_id", "text"), THRESHOLD)
+    """Pairs of turns whose 4-gram sets are similar, exactly, by prefix filtering."""
+    x = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return R.similar_pairs(R.features(x, "id", "text"), THRESHOLD)
 
 
 def clone_groups(spark, d):
@@ -121,7 +122,7 @@ def quality_gate(spark, d):
 _DOC = '(?s)""".*?"""|' + "''" * 3 + ".*?" + "''" * 3
 NORM = f"trim(regexp_replace(regexp_replace(regexp_replace(text, '{_DOC}', '', 'g'), '#[^" + r"\n]*', '', 'g'), '\s+', ' ', 'g'))"
 GRAMS = "g AS (SELECT DISTINCT id, array_to_string(w[x : x + 3], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS x FROM (SELECT id, [t for t in regexp_split_to_array(lower(text), '[^a-z0-9]+') if t <> ''] AS w FROM src) WHERE len(w) >= 4))"
-PAIRS = "src AS (SELECT doc_id AS id, text FROM documents), " + GRAMS + f", s AS (SELECT id, count(*) AS n FROM g GROUP BY 1), i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g AS x JOIN g AS y ON x.gram = y.gram AND x.id < y.id GROUP BY 1, 2), p AS (SELECT a, b, k / (sa.n + sb.n - k) AS similarity FROM i JOIN s AS sa ON sa.id = a JOIN s AS sb ON sb.id = b WHERE k / (sa.n + sb.n - k) >= {THRESHOLD})"
+PAIRS = "src AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), " + GRAMS + f", s AS (SELECT id, count(*) AS n FROM g GROUP BY 1), i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g AS x JOIN g AS y ON x.gram = y.gram AND x.id < y.id GROUP BY 1, 2), p AS (SELECT a, b, k / (sa.n + sb.n - k) AS similarity FROM i JOIN s AS sa ON sa.id = a JOIN s AS sb ON sb.id = b WHERE k / (sa.n + sb.n - k) >= {THRESHOLD})"
 _WORDS = "|".join(S.MOCK_WORDS)
 MOCK = f"""m AS (SELECT doc_id, unnest([
 CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])({_WORDS})($|[^a-z0-9])') THEN {{'kind': 'keyword', 'severity': 'warning'}} END,
