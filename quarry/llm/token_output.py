@@ -29,6 +29,8 @@ from quarry.llm.textcore import span_hash, text_chunks
 END_ID = 2
 SHARD_BYTES = 24_000_000
 CACHE_WORDS = 1_200_000
+#: Pre-tokens that are encoded in one string.
+RUN_WORDS = 500
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qB")
 
@@ -116,8 +118,9 @@ def pieces(points: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndarr
 class Encoder:
     """Encodes texts with the tokenizers library; pre-tokens it has met before are looked up.
 
-    Merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in a row. Vocabularies whose split isn't
-    the one of ``pieces`` are encoded text by text.
+    Merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in a row. New ones are encoded many to a
+    string, a line feed between them, which is a pre-token of its own. They are known by 64-bit hashes of their bytes.
+    Vocabularies whose split isn't the one of ``pieces`` are encoded text by text.
     """
 
     def __init__(self, path: str):
@@ -130,29 +133,49 @@ class Encoder:
         self.split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not parts["normalizer"]
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.classes = _classes() if self.split else None
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
         self.clear()
 
     def clear(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]):
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.clear()
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens, and the count of each."""
+        if self.feed is not None and not any(w[1:2].isspace() or w[:1] != " " and w[:1].isspace() for w in words):
+            runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
+            found = self.tok.encode_batch_fast(["\n".join(r) + "\n" for r in runs], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(words):
+                return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
         found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, n.sum()), n
+
+    def _learn(self, keys: list[int], words: list[str]):
+        blank = [i for i, w in enumerate(words) if w.isspace()]
+        if blank:  # runs of white space are encoded one by one
+            rest = sorted(set(range(len(words))) - set(blank))
+            for some in (blank, rest):
+                self._add([keys[i] for i in some], *self._encode([words[i] for i in some])) if some else None
+        else:
+            self._add(keys, *self._encode(words))
+
+    def _add(self, keys: list[int], ids: np.ndarray, n: np.ndarray):
         k = len(self.known)
         while k + len(n) > len(self.n):
             self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
-        while self.used + n.sum() > len(self.ids):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.at[k : k + len(n)] = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
+        self.at[k : k + len(n)] = self.used + np.cumsum(n) - n
         self.n[k : k + len(n)] = n
-        self.ids[self.used : self.used + n.sum()] = np.fromiter((i for x in found for i in x), np.uint32, n.sum())
-        self.used += int(n.sum())
-        self.known |= zip(words, range(k, k + len(n)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known |= zip(keys, range(k, k + len(n)))
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk's texts, and the count of each text."""
@@ -170,13 +193,14 @@ class Encoder:
         pos = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
         from quarry.llm.textcore import prefix_hash
 
-        _, some, which = np.unique(span_hash(prefix_hash(buf), pos[s], pos[e]), return_index=True, return_inverse=True)
-        words = [text[a:b] for a, b in zip(s[some].tolist(), e[some].tolist())]
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-            if any(w not in self.known for w in words):  # the store was emptied
-                self._learn([w for w in words if w not in self.known])
-        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[which]
+        keys, some, which = np.unique(span_hash(prefix_hash(buf), pos[s], pos[e]), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        if len(self.known) + len(keys) > CACHE_WORDS:
+            self.clear()
+        if new := [i for i, h in enumerate(keys) if h not in self.known]:
+            at = some[new]
+            self._learn([keys[i] for i in new], [text[a:b] for a, b in zip(s[at].tolist(), e[at].tolist())])
+        k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
         n = self.n[k]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(self.at[k] - (ends - n), n) + np.arange(ends[-1])]
