@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scalar as S
 from quarry.operators import architecture as R
 from quarry.operators import graph as G
+from quarry.operators import grouping as N
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -106,6 +107,11 @@ def community_modularity(spark, d):
     return G.modularity(G.undirected(edges(spark, d)), _parts(spark, d))
 
 
+def found_communities(spark, d):
+    """Communities found by local moves and refinement, which SQL can't express."""
+    return N.communities(G.undirected(edges(spark, d)))
+
+
 def community_metrics(spark, d):
     return G.community_metrics(edges(spark, d), _parts(spark, d))
 
@@ -200,6 +206,7 @@ QUERIES = {
     "core_modules": (core_modules, CORE),
     "community_graph": (community_graph, E + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight)::BIGINT AS weight FROM e GROUP BY 1, 2"),
     "community_modularity": (community_modularity, E + ", w AS (SELECT src AS a, dst AS b, weight FROM e), m AS (SELECT sum(weight)::DOUBLE AS m FROM w), d AS (SELECT community, sum(weight)::DOUBLE AS degree FROM (SELECT a AS node, weight FROM w UNION ALL SELECT b, weight FROM w) JOIN n USING (node) GROUP BY 1), i AS (SELECT x.community, sum(weight)::DOUBLE AS inside FROM w JOIN n AS x ON w.a = x.node JOIN n AS y ON w.b = y.node WHERE x.community = y.community GROUP BY 1) SELECT sum(coalesce(inside, 0) / m - pow(degree / (2 * m), 2)) AS q FROM d LEFT JOIN i USING (community), m"),
+    "found_communities": (found_communities, None),
     "community_metrics": (community_metrics, E + ", x AS (SELECT a.community AS f, b.community AS t FROM e" + J + ") SELECT community, size, internal, outgoing, incoming, CASE WHEN internal + outgoing + incoming = 0 THEN 0 ELSE internal / (internal + outgoing + incoming) END::DOUBLE AS internal_ratio FROM (SELECT community, count(*) AS size, (SELECT count(*) FROM x WHERE f = community AND t = community) AS internal, (SELECT count(*) FROM x WHERE f = community AND t <> community) AS outgoing, (SELECT count(*) FROM x WHERE f <> community AND t = community) AS incoming FROM n GROUP BY community)"),
     "bridge_modules": (bridge_modules, E + ", x AS (SELECT e.src, e.dst, a.community AS f, b.community AS t FROM e" + J + "WHERE a.community <> b.community) SELECT node, count(*) AS cross_edges, count(DISTINCT other) AS communities FROM (SELECT src AS node, t AS other FROM x UNION ALL SELECT dst, f FROM x) GROUP BY 1"),
     "dominant_package": (dominant_package, "SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS rn FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)) WHERE rn = 1"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scalar as S
 from quarry.operators import architecture as R
 from quarry.operators import graph as G
+from quarry.operators import grouping as N
 from quarry.operators import scoring as Q
 from quarry.operators import summaries as A
 
@@ -37,6 +38,11 @@ def clone_groups(spark, d):
     return G.components(nodes, p.select(F.col("a").alias("src"), F.col("b").alias("dst"))).groupBy("component").agg(F.count("*").alias("size"))
 
 
+def clone_stars(spark, d):
+    """Members of each connected group that are similar to its medoid."""
+    return N.star_groups(clone_pairs(spark, d))
+
+
 def clone_statistics(spark, d):
     p = clone_pairs(spark, d)
     kind = R.clone_type((F.col("similarity") >= 0.999).cast("double"), F.col("similarity"), F.col("similarity"), F.col("similarity"))
@@ -139,6 +145,7 @@ QUERIES = {
     "content_hash": (content_hash, f"SELECT md5({NORM}) AS hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "clone_pairs": (clone_pairs, f"WITH {PAIRS} SELECT a, b, similarity FROM p"),
     "clone_groups": (clone_groups, f"WITH RECURSIVE {PAIRS}, u AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), c AS (SELECT x, y FROM u UNION SELECT x, x FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x) SELECT component, count(*) AS size FROM (SELECT x, min(y) AS component FROM c GROUP BY 1) GROUP BY 1"),
+    "clone_stars": (clone_stars, f"WITH RECURSIVE {PAIRS}, u AS (SELECT a AS x, b AS y, similarity AS s FROM p UNION ALL SELECT b, a, similarity FROM p), c AS (SELECT x, y FROM u UNION SELECT x, x FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x), k AS (SELECT x, min(y) AS component FROM c GROUP BY 1), t AS (SELECT x, round(sum(s), 9) AS total FROM u GROUP BY 1), m AS (SELECT component, x AS medoid FROM (SELECT component, x, row_number() OVER (PARTITION BY component ORDER BY total DESC, x) AS rn FROM k JOIN t USING (x)) WHERE rn = 1) SELECT component, medoid, y AS node, s AS similarity FROM m JOIN u ON medoid = x UNION ALL SELECT component, medoid, medoid, 1.0::DOUBLE FROM m"),
     "clone_statistics": (clone_statistics, f"WITH {PAIRS} SELECT CASE WHEN similarity >= 0.999 THEN 1 ELSE 2 END::INT AS type, count(*) AS pairs, avg(similarity) AS mean_similarity FROM p GROUP BY 1"),
     "text_similarity": (text_similarity, "WITH x AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS s FROM conversations) SELECT x.conv_id, x.turn, CASE WHEN greatest(length(x.s), length(y.s)) = 0 THEN 1 ELSE 1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s)) END::DOUBLE AS similarity FROM x JOIN x AS y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1"),
     "vector_similarity": (vector_similarity, "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], medoid::DOUBLE[]), 6) AS similarity FROM embeddings JOIN (SELECT label, arg_min(embedding, vec_id) AS medoid FROM embeddings GROUP BY 1) USING (label)"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import glob_regex
+from quarry.sources import control_flow
 
 #: Folders that a scan skips (fixed values).
 SKIPPED = "__pycache__ .git .hg .svn .tox .venv build dist env node_modules site-packages venv .mypy_cache .pytest_cache .ruff_cache .eggs".split()
@@ -219,6 +220,13 @@ def class_facts(tree: ast.AST):
                     yield c.name, "hint", m.name, ast.unparse(x.annotation)
 
 
+def trees(tree: ast.AST):
+    """(function, start, labels, parents): each function's tree in pre-order, a label being the node's type."""
+    for name, fn in functions(tree):
+        rows = nodes(fn)
+        yield name, fn.lineno, [r[2] for r in rows], [r[1] for r in rows]
+
+
 _STR, _INT = pa.string(), pa.int64()
 RELATIONS = {
     "nodes": ("id long, parent long, type string, name string, depth long, start_line long, end_line long, size long", [_INT, _INT, _STR, _STR, _INT, _INT, _INT, _INT], nodes),
@@ -230,6 +238,13 @@ RELATIONS = {
     "imports": ("target string, name string, alias string, level long, lazy boolean, type_checking boolean", [_STR, _STR, _STR, _INT, pa.bool_(), pa.bool_()], imports),
     "unreachable": ("function string, start_line long, end_line long, reason string", [_STR, _INT, _INT, _STR], lambda t: [(n, *r) for n, f in functions(t) for r in unreachable(f)]),
     "class_facts": ("class string, kind string, method string, name string", [_STR] * 4, class_facts),
+    "trees": ("function string, start_line long, labels array<string>, parents array<long>", [_STR, _INT, pa.list_(_STR), pa.list_(_INT)], trees),
+    "cfg_blocks": (
+        "function string, line long, block long, label string, is_entry boolean, is_exit boolean, start_line long, end_line long, n_stmts long, reachable boolean",
+        [_STR, _INT, _INT, _STR, pa.bool_(), pa.bool_(), _INT, _INT, _INT, pa.bool_()],
+        lambda t: [(n, f.lineno, *r) for n, f in functions(t) for r in control_flow.blocks(f)],
+    ),
+    "cfg_edges": ("function string, line long, src long, dst long, edge_type string", [_STR, _INT, _INT, _INT, _STR], lambda t: [(n, f.lineno, *r) for n, f in functions(t) for r in control_flow.edges(f)]),
     "errors": ("error string", [_STR], lambda t: ()),
 }
 
