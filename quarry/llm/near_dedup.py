@@ -250,6 +250,16 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further links: components of the graph whose nodes are the classes so far."""
+    named = links.select("a", "b")
+    for end in ("a", "b"):
+        named = named.join(labels.select(F.col("node").alias(end), F.col("label").alias("_l")), end, "left").withColumn(end, F.coalesce("_l", end)).drop("_l")
+    above = components(named.where("a <> b"))
+    old = labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("_l")), "label", "left").select("node", F.coalesce("_l", "label").alias("label"))
+    return written(old.unionByName(above.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+
+
 class _Classes:
     """Finds classes of representatives; each step's tables lie in the shared folder."""
 
@@ -311,7 +321,7 @@ class _Classes:
             if more.isEmpty():
                 continue
             links = links.unionByName(more)
-            labels = components(links)
+            labels = joined_components(labels, more)
         return links, labels
 
 

@@ -167,6 +167,14 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_later_links_join_classes(spark):
+    first, more = [(1, 2), (3, 4), (5, 6)], [(2, 4), (6, 9), (7, 8), (1, 2)]
+    labels = near_dedup.components(spark.createDataFrame(first, "a long, b long"))
+    got = near_dedup.joined_components(labels, spark.createDataFrame(more, "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 7: 7, 8: 7}
+    assert got.count() == 9
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     from quarry.llm.textcore import mix
 
