@@ -13,8 +13,8 @@ Rows with equal texts are one representative (aggregated before anything is join
 the values of their next band, so that close ones are neighbours, and each is paired with the closest of the few
 before it: a forest, not all pairs. Most of a large group is one class after that. Then, in buckets whose texts are still in different classes,
 the texts outside the bucket's main class are held against the others' signatures, and pairs of different classes
-whose estimate is within 4.4 standard errors of the threshold are compared: the best first, then all the
-rest. So every link that could join two classes is tried, and no bucket or partner list is capped. Links are checked on
+whose estimate is within 4.4 standard errors of the threshold are compared: short texts at once, where one link to
+each other class suffices; of long ones the best first, then all the rest. So every link that could join two classes is tried, and no bucket or partner list is capped. Links are checked on
 exact shingle multisets.
 
 Nulls: rows with a null text, and texts without words that differ, are classes of their own; equal texts of any kind
@@ -44,8 +44,8 @@ ESTIMATE = THRESHOLD - 4.4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 LOOK_BACK = 16
 #: Texts of at most this many shingles carry them into their buckets, where they are compared exactly at once.
 CARRIED = 256
-#: Partners by rank of estimate, in a bucket, that each round takes.
-ROUNDS = ((0, 2), (2, None))
+#: Partners of long texts, the best by estimate in a bucket, that each round takes; the last takes all that is left.
+ROUNDS = (2, None)
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,12 +109,12 @@ def _sign(batches):
         n = rows.num_rows
         words = Words(buf, off)
         g, doc = shingles(words)
-        sig = darts(units(g, doc), doc, n, COORDINATES)
+        u = units(g, doc)
+        sig = darts(u, doc, n, COORDINATES)
         keys = bands(sig, BANDS, ROWS).view(np.int64)
         short = (sig >> np.uint64(56)).astype(np.uint8)
-        u32 = (units(g, doc) >> np.uint64(32)).astype("<u4")
         cut = np.searchsorted(doc, np.arange(n + 1)).tolist()
-        own = [u32[a:b].tobytes() if b - a <= CARRIED else None for a, b in zip(cut, cut[1:])]
+        own = [u[a:b].astype("<u8").tobytes() if b - a <= CARRIED else None for a, b in zip(cut, cut[1:])]
         known = rows.column("text").is_valid().to_pylist()
         full = words.counts > 0
         digest = [hashlib.blake2b(buf[a:b], digest_size=16).digest() if v else None for a, b, v in zip(off, off[1:], known)]
@@ -156,52 +156,63 @@ def _neighbours(batches):
 
 
 def _alike(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if min(len(x), len(y)) < (THRESHOLD - 0.01) * max(len(x), len(y)):
+    """Whether two texts, each the bytes of its unit hashes, are a link."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
         return False
     z = np.sort(np.concatenate([x, y]))
     both = np.count_nonzero(z[1:] == z[:-1])
-    return both >= (THRESHOLD - 0.01) * (len(z) - both)
+    return both / (len(z) - both) >= THRESHOLD
 
 
-def _outsiders(lo: int, hi: int | None):
-    """Plausible pairs of different classes, of ranks lo to hi by estimate, in rows sorted by bucket, outsiders first."""
+def _outsiders(most: int | None):
+    """Pairs of different classes in rows sorted by bucket, outsiders first. Texts that carry their shingles are
+    compared here, in the first round, and an outsider's links name one row of each class; of others, the ``most``
+    plausible pairs by estimate are returned, each in the least bucket that its texts share."""
 
     def run(batches):
-        now, out, best = None, None, []
+        now, out, sure, best = None, None, [], []
 
         def close():
             a, b = [], []
-            for x, found in zip(out[0] if out else [], best):
-                found.sort(key=lambda f: f[:2])
-                for _, y, mine, its in found[lo:hi]:
-                    if mine is None or its is None or _alike(mine, its):
-                        a.append(x)
-                        b.append(y)
+            for x, linked, found in zip(out[0] if out else [], sure, best):
+                rest = sorted(f for f in found if f[2] not in linked)[:most]
+                mates = [*linked.values(), *(f[1] for f in rest)]
+                a += [x] * len(mates)
+                b += mates
             return _pairs(a, b)
 
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "rep", "label", "outside")]
             sig, own = _sigs(batch), np.array(batch.column("own").to_pylist(), object)
+            keys = batch.column("bands").flatten().to_numpy().reshape(len(sig), BANDS)
             for part in np.split(np.arange(len(sig)), np.flatnonzero(np.diff(cols[0])) + 1):
                 if not len(part):
                     continue
                 if cols[0][part[0]] != now:
                     yield close()
-                    now, out, best = cols[0][part[0]], None, []
+                    now, out, sure, best = cols[0][part[0]], None, [], []
                 rep, label, outside = (c[part] for c in cols[1:])
-                s = sig[part]
+                s, carried, b = sig[part], own[part], keys[part]
                 if outside.any():
                     o = np.flatnonzero(outside)
-                    mine = (rep[o], label[o], s[o], own[part][o])
+                    mine = (rep[o], label[o], s[o], carried[o], b[o])
                     out = mine if out is None else tuple(np.concatenate(x) for x in zip(out, mine))
+                    sure += [{} for _ in o]
                     best += [[] for _ in o]
                 if out is None:
                     continue
-                for k in range(len(best)):
+                for k, linked in enumerate(sure):
                     est = np.count_nonzero(s == out[2][k], axis=1)
-                    for j in np.flatnonzero((est >= ESTIMATE * COORDINATES) & (label != out[1][k])):
-                        best[k].append((-int(est[j]), int(rep[j]), out[3][k], own[part[j]]))
+                    for j in np.flatnonzero((est >= ESTIMATE * COORDINATES) & (label != out[1][k])).tolist():
+                        named = int(label[j])
+                        if out[3][k] is None or carried[j] is None:
+                            both = b[j][b[j] == out[4][k]]
+                            # rows that share an id may lie in buckets of another row's bands
+                            if now not in both or now == both.min():
+                                best[k].append((-int(est[j]), int(rep[j]), named))
+                        elif most is not None and named not in linked and _alike(out[3][k], carried[j]):
+                            linked[named] = int(rep[j])
         yield close()
 
     return run
@@ -281,7 +292,6 @@ class _Classes:
         self.sigs = written(sigs.select("rep", "s.*"), "sigs")
         nxt = F.try_element_at("bands", ((F.array_position("bands", F.col("bucket")) % BANDS) + 1).cast("int"))
         self.slim = written(members.join(self.sigs.select("rep", "bands"), "rep").select("bucket", "rep", nxt.alias("next")), "slim")
-        self.sigs = self.sigs.drop("bands")
         # only texts that share a bucket are ever compared: their shingles are made once
         needed = self.sigs.select(F.col("rep").alias("doc_id"))
         texts = self.docs.hint("merge").join(needed, "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shingle_rows, "rep long, g array<long>")
@@ -302,17 +312,17 @@ class _Classes:
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(links, labels of linked representatives)."""
-        chain = self.slim.join(self.sigs, "rep").repartition("bucket").sortWithinPartitions("bucket", "next", "rep")
+        chain = self.slim.join(self.sigs.drop("bands"), "rep").repartition("bucket").sortWithinPartitions("bucket", "next", "rep")
         tested = written(chain.mapInArrow(_neighbours, "a long, b long").where("a <> b").distinct(), "pairs")
         links = self.verified(tested)
         labels = components(links)
-        for lo, hi in ROUNDS:
+        for most in ROUNDS:
             named = self.slim.select("bucket", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
             open_ = named.join(main, "bucket").withColumn("outside", F.col("label") != F.col("main")).drop("main")
             rows = open_.join(self.sigs, "rep").repartition("bucket").sortWithinPartitions("bucket", F.desc("outside"))
-            found = rows.mapInArrow(_outsiders(lo, hi), "a long, b long").distinct()
+            found = rows.mapInArrow(_outsiders(most), "a long, b long").distinct()
             new = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
             if new.isEmpty():
                 continue

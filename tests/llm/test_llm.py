@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("quarry.llm")
@@ -192,3 +193,16 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
     assert rows and rows[0].start == 0
     assert all(a.start + a.n_tokens == b.start and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:]))
+
+
+def test_outsiders_return_each_long_pair_once():
+    """Two buckets share a pair of long texts of different classes; a short pair's link is named once a class."""
+    sig = np.zeros(near_dedup.COORDINATES, np.uint8).tobytes()
+    bands = [7, 3, *range(100, 100 + near_dedup.BANDS - 2)]
+    short = np.arange(20, dtype="<u8").tobytes()
+    rows = [(3, 1, 1, True, None), (3, 2, 2, False, None), (7, 1, 1, True, None), (7, 2, 2, False, None), (9, 4, 4, True, short), (9, 5, 5, False, short), (9, 6, 5, False, short)]
+    cols = [pa.array([r[c] for r in rows]) for c in range(4)]
+    batch = pa.RecordBatch.from_arrays([*cols, pa.array([sig] * 7, pa.binary()), pa.array([r[4] for r in rows], pa.binary()), pa.array([bands] * 7, pa.list_(pa.int64()))], ["bucket", "rep", "label", "outside", "sig", "own", "bands"])
+    for most, want in ((2, [(1, 2), (4, 5)]), (None, [(1, 2)])):
+        got = [p for out in near_dedup._outsiders(most)([batch]) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+        assert sorted(got) == want
