@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.store import written
+from quarry.llm.store import digest, written
 from quarry.llm.textcore import LOWER, WORD, Words, gram_hash, text_chunks, winnow
 
 WINDOW = 8
@@ -90,7 +90,7 @@ def scan(words: Words, index: Index) -> dict[int, tuple[np.ndarray, set[int]]]:
     return out
 
 
-HITS = "doc_id long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
+HITS = "doc_id long, digest binary, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
 
 
 def _matcher(shared):
@@ -106,7 +106,7 @@ def _matcher(shared):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))) if hit is not None else []
                 runs.append([{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2])])
                 items.append(sorted(index.names[i] for i in own))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("digest"), pa.array(words.counts, pa.int64()), pa.array(runs, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "digest", "n_words", "spans", "items"])
 
     return match
 
@@ -121,23 +121,23 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (runs of hit words) and items of each document."""
+    """doc_id, digest (of the text), n_words, spans (runs of hit words) and items of each document."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text")
     parts = []
     for items in blocks(benchmark, limit):
         shared = spark.sparkContext.broadcast(Index(items, window, gram))
         parts.append(slim.mapInArrow(_matcher(shared), HITS))
     if len(parts) == 1:
         return parts[0]
-    # several blocks: only rows with hits are kept from each but the first, then put together by document
-    key = F.xxhash64("doc_id", "n_words")
+    # several blocks: hits follow from the text alone, so they are put together by text; the first block has all rows
     kept = [written(p if k == 0 else p.where(F.size("items") > 0), f"block{k}") for k, p in enumerate(parts)]
-    every = kept[0]
+    every = kept[0].where(F.size("items") > 0)
     for p in kept[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("doc_id", "n_words", key.alias("_k")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.drop("_k")
+    sets = every.groupBy(F.col("digest").alias("_d")).agg(F.flatten(F.collect_set("spans")).alias("_s"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_i"))
+    both = kept[0].join(sets, F.col("digest") == F.col("_d"), "left")
+    return both.select("doc_id", "digest", "n_words", F.coalesce("_s", "spans").alias("spans"), F.coalesce("_i", "items").alias("items"))
 
 
 def _covered(spans):

@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,3 +40,8 @@ def release(spark: SparkSession) -> None:
 def small_batches(spark: SparkSession, mb: int = 16) -> None:
     """Bound the Arrow batches that Python stages get by bytes, for rows that hold long texts or lists."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def digest(text: str = "text") -> Column:
+    """Sixteen bytes that name a text; null for a null one."""
+    return F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16)
