@@ -157,10 +157,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     )
 
 
-def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns. Decided in place: no join brings the rows back."""
-    bad = written(decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+def stage(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The documents that are not contaminated, with their columns. Whether one is follows from its text, not its id."""
+    counted = hits(docs, benchmark, **kw).where(F.size("items") >= MIN_ITEMS)
+    bad = written(counted.select(F.col("digest").alias("_d")).distinct(), "contaminated")
+    return docs.withColumn("_digest", digest()).join(bad, F.col("_digest") == F.col("_d"), "left_anti").drop("_digest")
 
 
 def brute_force(text: str | None, items: list[tuple[str, str]], window: int = WINDOW) -> tuple[int, int, int, str]:

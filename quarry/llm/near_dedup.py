@@ -9,7 +9,8 @@ ranks, each to a hashed coordinate; of each coordinate the earliest dart is kept
 number of coordinates, not the text's length. BANDS bands of ROWS coordinates miss a pair at the threshold with a
 probability of (1 - 0.8^4)^24 = 3e-6.
 
-Rows with equal texts are one representative (aggregated before anything is joined). A bucket's texts are ordered by
+Rows with equal texts are one representative (aggregated before anything is joined): the first row of the least id, under
+a row number that the written signatures fix, so rows that share an id, or have none, are told apart. A bucket's texts are ordered by
 the values of their next band, so that close ones are neighbours, and each is paired with the closest of the few
 before it: a forest, not all pairs. Most of a large group is one class after that. Then, in buckets whose texts are still in different classes,
 the texts outside the bucket's main class are held against the others' signatures, and pairs of different classes
@@ -18,20 +19,18 @@ each other class suffices; of long ones the best first, then all the rest. So ev
 exact shingle multisets.
 
 Nulls: rows with a null text, and texts without words that differ, are classes of their own; equal texts of any kind
-are one class. A null id is a class member like others, but never names a class unless it is alone. Empty tables give
-no rows; extra columns are ignored.
+are one class. A null id is a class member like others, but never names a class unless all of its ids are null. One row of
+each class is kept, also of repeated rows. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.store import release, small_batches, written
+from quarry.llm.store import digest, release, small_batches, written
 from quarry.llm.textcore import Words, gram_hash, mix, text_chunks
 
 SHINGLE = 5
@@ -115,11 +114,9 @@ def _sign(batches):
         short = (sig >> np.uint64(56)).astype(np.uint8)
         cut = np.searchsorted(doc, np.arange(n + 1)).tolist()
         own = [u[a:b].astype("<u8").tobytes() if b - a <= CARRIED else None for a, b in zip(cut, cut[1:])]
-        known = rows.column("text").is_valid().to_pylist()
         full = words.counts > 0
-        digest = [hashlib.blake2b(buf[a:b], digest_size=16).digest() if v else None for a, b, v in zip(off, off[1:], known)]
         lists = [x if f else [] for x, f in zip(keys, full)]
-        cols = [rows.column("doc_id"), pa.array(digest, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(own, pa.binary())]
+        cols = [rows.column("doc_id"), rows.column("digest"), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(own, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "bands", "sig", "own"])
 
 
@@ -276,25 +273,28 @@ class _Classes:
 
     def __init__(self, docs: DataFrame):
         small_batches(docs.sparkSession)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.signed = written(rows.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary, own binary"), "signed")
-        same = self.signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-        self.reps = written(same, "reps")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text")
+        signed = rows.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary, own binary")
+        self.signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")
+        same = self.signed.where("digest is not null").groupBy("digest").agg(first)
+        #: digest, rep (the row that stands for the text) and its doc_id
+        self.reps = written(same.select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id")), "reps")
         self.docs = rows
-        # the signatures of representatives; rows that share an id add buckets to it but change no link
-        ids = self.reps.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
-        own = written(self.signed.where(F.size("bands") > 0).hint("merge").join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").drop("digest"), "own")
+        # the signatures of representatives
+        ids = self.reps.select(F.col("rep").alias("row"))
+        own = written(self.signed.where(F.size("bands") > 0).hint("merge").join(ids, "row", "left_semi").withColumnRenamed("row", "rep").drop("digest", "doc_id"), "own")
         flat = own.select("rep", F.explode("bands").alias("bucket"))
         shared = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
         members = written(flat.hint("merge").join(shared, "bucket", "left_semi"), "members")
         release(docs.sparkSession)
-        sigs = own.hint("merge").join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first(F.struct("bands", "sig", "own")).alias("s"))
-        self.sigs = written(sigs.select("rep", "s.*"), "sigs")
+        sigs = own.hint("merge").join(members.select("rep").distinct(), "rep", "left_semi")
+        self.sigs = written(sigs.select("rep", "bands", "sig", "own"), "sigs")
         nxt = F.try_element_at("bands", ((F.array_position("bands", F.col("bucket")) % BANDS) + 1).cast("int"))
         self.slim = written(members.join(self.sigs.select("rep", "bands"), "rep").select("bucket", "rep", nxt.alias("next")), "slim")
         # only texts that share a bucket are ever compared: their shingles are made once
-        needed = self.sigs.select(F.col("rep").alias("doc_id"))
-        texts = self.docs.hint("merge").join(needed, "doc_id").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shingle_rows, "rep long, g array<long>")
+        needed = self.reps.join(self.sigs.select("rep"), "rep", "left_semi").select("rep", F.col("digest").alias("_d"), F.coalesce("doc_id", F.lit(0)).alias("_id"))
+        texts = self.docs.withColumn("digest", F.coalesce("digest", F.expr("X''"))).hint("merge").join(needed, (F.col("digest") == F.col("_d")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_id"))).select("rep", "text").mapInArrow(_shingle_rows, "rep long, g array<long>")
         self.texts = written(texts, "shingles")
         release(docs.sparkSession)
 
@@ -335,23 +335,38 @@ class _Classes:
         return links, labels
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), rep (the least doc_id with the same text), kept (names the class)."""
+def _decided(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, class_id, rep, kept of each row."""
     c = _Classes(docs)
     links, labels = c.run()
-    reps = c.reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = reps.select(F.col("digest").alias("_d"), F.col("rep"), F.coalesce("label", "rep").alias("class_id"))
-    out = c.signed.select("doc_id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
-    cls = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", cls.alias("class_id"), F.coalesce("rep", "doc_id").alias("rep"), cls.eqNullSafe(F.col("doc_id")).alias("kept"))
+    reps = c.reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep")).alias("f")
+    heads = reps.groupBy("label").agg(first).select("label", F.col("f.doc_id").alias("class_id"), F.col("f.rep").alias("head"))
+    named = reps.join(heads, "label").select(F.col("digest").alias("_d"), F.col("doc_id").alias("rep"), "class_id", "head")
+    out = c.signed.select("row", "doc_id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
+    alone = F.col("digest").isNull()
+    return out.select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("rep"), (alone | (F.col("row") == F.col("head"))).alias("kept"))
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), rep (the least doc_id with the same text), kept (one row a class)."""
+    return _decided(docs).drop("digest")
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each class, with the columns of ``docs``; of rows that share that document's id, one too."""
-    gone = near_dedup(docs)
-    drop = written(gone.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    left = docs.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return left
+    """One document of each class, with the columns of ``docs``. An id whose rows all go is dropped by itself; rows without
+    an id, or of an id of which a part stays, are decided by id and text."""
+    each = written(_decided(docs).groupBy("doc_id", "digest").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "decided")
+    ids = written(each.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("stays")).where("not stays").select("_id"), "dropped")
+    left = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    rest = each.where("digest is not null and (not kept or n > 1)").join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    rest = written(rest.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), "kept"), "parts")
+    if rest.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))
+    keyed = left.withColumn("_digest", digest())
+    once = keyed.join(rest.where("kept"), same, "left_semi").withColumn("_key", F.col("doc_id").cast("long")).dropDuplicates(["_key", "_digest"])
+    return keyed.join(rest, same, "left_anti").drop("_digest").unionByName(once.drop("_key", "_digest"))
 
 
 def brute_force(texts: list[str]) -> list[int]:

@@ -2,7 +2,7 @@
 
 import random
 
-from quarry.llm import decontaminate
+from quarry.llm import decontaminate, near_dedup
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdeé") for _ in range(R.randint(2, 7))) for _ in range(300)]
@@ -19,6 +19,24 @@ def near(text, k=2):
     return " ".join(w)
 
 
+def test_near_dedup_keeps_one_row_a_class(spark):
+    a, b, c, d, e, f = (prose(150) for _ in range(6))
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, c), (None, c), (None, near(c)), (7, d), (7, e), (8, d), (3, near(d)), (None, None), (None, None), (9, f), (9, f), (9, near(f, 1)), (None, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(3)
+    texts = [t if t is not None else f"null {k}" for k, (_, t) in enumerate(rows)]
+    cls = near_dedup.brute_force(texts)
+    got = near_dedup.near_dedup(df).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(set(cls))
+    least = {k: min((i for (i, _), x in zip(rows, cls) if x == k and i is not None), default=None) for k in cls}
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == sorted(((i, least[k]) for (i, _), k in zip(rows, cls)), key=str)
+    assert all(r.doc_id == r.class_id for r in got if r.kept)
+    left = near_dedup.stage(df)
+    assert left.columns == df.columns
+    kept = [r.k for r in left.collect()]
+    assert sorted(cls[k] for k in kept) == sorted(set(cls))
+    assert all(rows[k][0] == least[cls[k]] for k in kept)
+
+
 def test_blocks_give_each_row_back_once(spark):
     passage, other = prose(30), prose(30)
     items = [("1", passage), ("2", passage + " end"), ("3", other), ("4", other + " stop")]
@@ -28,7 +46,10 @@ def test_blocks_give_each_row_back_once(spark):
     rows = [(5, pad[0] + " " + passage), (5, pad[1] + " " + other), (5, pad[2] + " " + prose(30)), (5, pad[2] + " " + prose(30)), (None, pad[0] + " " + passage), (None, pad[3] + " " + prose(30)), (None, pad[3] + " " + prose(30)), (5, pad[0] + " " + passage), (None, None), (None, None)]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
     want = sorted(((i, *decontaminate.brute_force(t, items)) for i, t in rows), key=str)
+    clean = [k for k, (_, t) in enumerate(rows) if decontaminate.brute_force(t, items)[2] < decontaminate.MIN_ITEMS]
     for limit in (1 << 20, 300):
         assert (sum(1 for _ in decontaminate.blocks(bench, limit)) > 1) == (limit == 300)
         got = decontaminate.decontaminate(df, bench, limit=limit).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got), key=str) == want
+        left = decontaminate.stage(df, bench, limit=limit)
+        assert left.columns == df.columns and sorted(r.k for r in left.collect()) == clean
