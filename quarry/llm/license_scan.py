@@ -3,7 +3,9 @@
 Every template's word k-grams are winnowed into an inverted index; a document's k-grams that the index has give
 (template, diagonal) votes. Votes that lie close on diagonals are one candidate, which a banded local alignment of
 words then decides: coverage is the share of the template's words that are matched, the span its words in the
-document. A candidate needs coverage of COVERAGE. Of overlapping spans the one that matches more words is reported.
+document. A candidate needs coverage of COVERAGE. A band is wider than short templates, so what is found is masked and
+the band aligned again until coverage fails: notices that stand close are all found. Of overlapping spans the one that
+matches more words is reported.
 The templates are a fixed list, so the index that executors get is small by construction.
 Nulls: a null text has no words and gives no rows, as do empty texts and empty tables. Extra columns are ignored.
 Repeated rows give repeated results; ties between templates go to the first in name order. Texts of any length are
@@ -12,6 +14,8 @@ scanned whole.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +50,11 @@ TEMPLATES = {
 }
 
 
-def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: list[bytes], text: list[bytes | None], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched, start, end) of the best local alignment of template[i] near text[i + diagonal].
 
-    A match scores 2, a mismatch or gap -1; of equal scores the one that ends first is taken."""
+    A match scores 2, a mismatch or gap -1; of equal scores the one that ends first is taken. No alignment crosses a
+    word that is None."""
     width = 2 * band + 1
     last = [(0, 0, 0)] * width  # score, matched, start
     best = (0, 0, 0, 0)
@@ -57,7 +62,7 @@ def align(template: list[bytes], text: list[bytes], diagonal: int, band: int = B
         now = [(0, 0, 0)] * width
         for k in range(width):
             j = i + diagonal + k - band
-            if not 0 <= j < len(text):
+            if not 0 <= j < len(text) or text[j] is None:
                 continue
             score, matched, start = last[k]
             if not score:
@@ -108,13 +113,21 @@ class Index:
                     if last is not None and x - last <= BAND // 2:
                         continue
                     last = x
-                    matched, a, b = align(self.words[t], text, x)
-                    if matched >= COVERAGE * len(self.words[t]):
+                    masked: list[tuple[int, list[bytes]]] = []
+                    while True:
+                        matched, a, b = align(self.words[t], text, x)
+                        if matched < COVERAGE * len(self.words[t]):
+                            break
                         found.append((-matched, self.names[t], a, b, matched / len(self.words[t])))
-            taken: list[tuple[int, int]] = []
-            for m, name, a, b, cover in sorted(found):
-                if all(b <= x or y <= a for x, y in taken):
-                    taken.append((a, b))
+                        masked.append((a, text[a:b]))
+                        text[a:b] = [None] * (b - a)
+                    for a, own in masked:
+                        text[a : a + len(own)] = own
+            taken: list[tuple[int, int]] = []  # in order, none overlap
+            for m, name, a, b, cover in sorted(set(found)):
+                k = bisect.bisect_left(taken, (a, b))
+                if (not k or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b))
                     yield d, name, cover, -m, a, b
 
 

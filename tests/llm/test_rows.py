@@ -2,7 +2,7 @@
 
 import random
 
-from quarry.llm import decontaminate, near_dedup
+from quarry.llm import decontaminate, license_scan, near_dedup
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdeé") for _ in range(R.randint(2, 7))) for _ in range(300)]
@@ -53,3 +53,18 @@ def test_blocks_give_each_row_back_once(spark):
         assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got), key=str) == want
         left = decontaminate.stage(df, bench, limit=limit)
         assert left.columns == df.columns and sorted(r.k for r in left.collect()) == clean
+
+
+def test_license_notices_that_stand_close(spark):
+    mit, bsd = license_scan.TEMPLATES["MIT-notice"], license_scan.TEMPLATES["BSD-notice"]
+    texts = [f"{mit}\n{mit}", f"{mit}\n" * 7, f"x {mit} y {bsd}\n{mit} z {mit}", f"Released under the MIT {mit}", f"Released under {mit} the MIT License", license_scan.TEMPLATES["ISC"] * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in license_scan.license_scan(df).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start_word, r.end_word))
+    n = len(license_scan.Index(license_scan.TEMPLATES).words[sorted(license_scan.TEMPLATES).index("ISC")])
+    assert got == {
+        0: [("MIT-notice", 0, 5), ("MIT-notice", 5, 10)], 1: [("MIT-notice", k, k + 5) for k in range(0, 35, 5)],
+        2: [("MIT-notice", 1, 6), ("BSD-notice", 7, 12), ("MIT-notice", 12, 17), ("MIT-notice", 18, 23)],
+        3: [("MIT-notice", 0, 4), ("MIT-notice", 4, 9)], 4: [("MIT-notice", 2, 7)], 5: [("ISC", k * n, (k + 1) * n) for k in range(3)],
+    }
