@@ -12,9 +12,9 @@ equal anchors at equal places, and only suffixes at anchors need sorting: a spar
    left match with an earlier member, found among sorted reversed left parts, decides what is covered. No pairs.
 Hashes of 64 bits decide equality in step 1, bytes in step 3.
 
-Order is by doc_id, then start; a null doc_id comes first. Rows that share an id are the same document: neither is
-earlier, and each gets what is covered of that id within its own length. A null text has no bytes. Empty tables give
-no rows; extra columns are ignored.
+Order is by doc_id, then by the text's 64-bit hash, then start; a null doc_id comes first. So texts that share an id, or
+have none, are documents of their own, named by id and hash. Of rows that repeat both, all but one are covered whole if
+they have LENGTH bytes. A null text has no bytes. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.store import release, small_batches, written
@@ -73,54 +73,54 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc, pos - off[doc], g[pos], c
 
 
-_ROW = "h long, c long, doc long, pos int, kind byte"
+_ROW = "h long, c long, doc long, sub long, pos int, kind byte"
 
 
-def _rows(h, c, doc, pos, kind):
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(kind.astype(np.int8))], ["h", "c", "doc", "pos", "kind"])
+def _rows(h, c, doc, sub, pos, kind):
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(sub), pa.array(pos.astype(np.int32)), pa.array(kind.astype(np.int8))], ["h", "c", "doc", "sub", "pos", "kind"])
 
 
 def _anchor_rows(batches):
     for rows, buf, off in text_chunks(batches):
         d, pos, h, c = anchors(buf, off)
-        doc = rows.column("doc").to_numpy()[d]
-        order = np.lexsort((pos, doc, c, h))
-        h, c, doc, pos = h[order], c[order], doc[order], pos[order]
+        doc, sub = (rows.column(k).to_numpy()[d] for k in ("doc", "sub"))
+        order = np.lexsort((pos, sub, doc, c, h))
+        h, c, doc, sub, pos = h[order], c[order], doc[order], sub[order], pos[order]
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else order
-        again = same & ((doc != doc[first]) | (pos != pos[first]))
-        h = np.where(again, mix(h + doc.astype(np.uint64)), h)  # what is settled travels anywhere
-        yield _rows(h, c, doc, pos, again)
+        again = same & ((doc != doc[first]) | (sub != sub[first]) | (pos != pos[first]))
+        h = np.where(again, mix(h + doc.astype(np.uint64) + sub.astype(np.uint64)), h)  # what is settled travels anywhere
+        yield _rows(h, c, doc, sub, pos, again)
 
 
-MARK = "doc long, pos int, kind byte"
+MARK = "doc long, sub long, pos int, kind byte"
 
 
 def _settle(batches):
-    """Rows sorted by (h, c, doc, pos) -> covered anchors, and the first of each context of anchors with several."""
+    """Rows sorted by (h, c, doc, sub, pos) -> covered anchors, and the first of each context of anchors with several."""
 
-    def out(doc, pos, kind):
-        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.full(len(doc), kind, np.int8))], ["doc", "pos", "kind"])
+    def out(doc, sub, pos, kind):
+        return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(sub.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.full(len(doc), kind, np.int8))], ["doc", "sub", "pos", "kind"])
 
     first = None  # of the open (h, c)
     held, near = None, False  # the last first, and whether its h has had another context
     for batch in batches:
-        h, c, doc, pos, kind = (batch.column(k).to_numpy() for k in ("h", "c", "doc", "pos", "kind"))
+        h, c, doc, sub, pos, kind = (batch.column(k).to_numpy() for k in ("h", "c", "doc", "sub", "pos", "kind"))
         done = kind == COVER
         if done.any():
-            yield out(doc[done], pos[done], COVER)
-            h, c, doc, pos = h[~done], c[~done], doc[~done], pos[~done]
+            yield out(doc[done], sub[done], pos[done], COVER)
+            h, c, doc, sub, pos = h[~done], c[~done], doc[~done], sub[~done], pos[~done]
         if not len(h):
             continue
-        x = np.stack([h, c, doc, pos.astype(np.int64)])
+        x = np.stack([h, c, doc, sub, pos.astype(np.int64)])
         if first is not None:
             x = np.concatenate([first, x], 1)
         new = np.ones(x.shape[1], bool)
         new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        again = ~new & ((x[2] != x[2][lead]) | (x[3] != x[3][lead]))
-        yield out(x[2][again], x[3][again], COVER)
+        again = ~new & (x[2:] != x[2:, lead]).any(0)
+        yield out(*x[2:, again], COVER)
         first = x[:, lead[-1:]]
         f = x[:, new]
         same = f[0, 1:] == f[0, :-1]
@@ -128,13 +128,13 @@ def _settle(batches):
         many[1:] |= same
         many[:-1] |= same
         many[0] |= near
-        yield out(f[2, :-1][many[:-1]], f[3, :-1][many[:-1]], ANCHOR)
+        yield out(*f[2:, :-1][:, many[:-1]], ANCHOR)
         held, near = f[:, -1], bool(many[-1])
     if held is not None and near:
-        yield out(held[2:3], held[3:4], ANCHOR)
+        yield out(held[2:3], held[3:4], held[4:5], ANCHOR)
 
 
-CONTEXT = "key long, doc long, pos int, before int, bytes binary"
+CONTEXT = "key long, doc long, sub long, pos int, before int, bytes binary"
 
 
 def _contexts(batches):
@@ -149,12 +149,12 @@ def _contexts(batches):
         cs = prefix_hash(buf)
         lo, hi = np.maximum(p - _REACH, off[d]), np.minimum(p + LENGTH, off[d + 1])
         right, left = p + _RIGHT <= hi, p - _LEFT >= lo
-        doc = rows.column("doc").to_numpy()[d]
+        doc, sub = (rows.column(k).to_numpy()[d] for k in ("doc", "sub"))
         for side, ok in ((0, right), (1, left)):
             a, b = (p, p + _RIGHT) if side == 0 else (p - _LEFT, p + GRAM)
             k = mix(span_hash(cs, a[ok], b[ok]) + np.uint64(side))
             data = pa.array([buf[x:y].tobytes() for x, y in zip(lo[ok], hi[ok])], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(doc[ok]), pa.array((p - off[d])[ok].astype(np.int32)), pa.array((p - lo)[ok].astype(np.int32)), data], ["key", "doc", "pos", "before", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(doc[ok]), pa.array(sub[ok]), pa.array((p - off[d])[ok].astype(np.int32)), pa.array((p - lo)[ok].astype(np.int32)), data], ["key", "doc", "sub", "pos", "before", "bytes"])
 
 
 # -- sorting ----------------------------------------------------------------------------------------------------
@@ -228,7 +228,7 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return out
 
 
-def covered(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+def covered(group: list[tuple[tuple[int, int], int, int, bytes]]) -> list[tuple[tuple[int, int], int, int]]:
     """(doc, lo, hi) that an earlier member covers; group: (doc, pos, bytes before pos, bytes) in ascending order."""
     right = [b[k:] for _, _, k, b in group]
     left = [b[:k][::-1] for _, _, k, b in group]
@@ -258,37 +258,40 @@ def covered(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, in
     return [(group[m][0], group[m][1] - x, group[m][1] + y) for m, (x, y) in found.items()]
 
 
-SPAN = "doc long, lo int, hi int"
+SPAN = "doc long, sub long, lo int, hi int"
 
 
 def _compare(batches):
-    """Contexts sorted by (key, doc, pos) -> covered spans."""
+    """Contexts sorted by (key, doc, sub, pos) -> covered spans."""
     key, group = None, []
 
     def close():
-        # equal places of rows that share an id are one
+        # equal places of rows that repeat id and text are one
         rows = [g for i, g in enumerate(group) if not i or g[:2] != group[i - 1][:2]]
         spans = covered(rows) if len(rows) > 1 else []
-        cols = list(zip(*spans)) if spans else [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["doc", "lo", "hi"])
+        cols = list(zip(*((*d, a, b) for d, a, b in spans))) if spans else [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "sub", "lo", "hi"])
 
     for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "pos", "before", "bytes"))):
+        for k, doc, sub, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sub", "pos", "before", "bytes"))):
             if k != key:
                 if len(group) > 1:
                     yield close()
                 key, group = k, []
-            group.append(tuple(row))
+            group.append(((doc, sub), *row))
     yield close()
 
 
 def _cut(batches):
     for rows, buf, off in text_chunks(batches):
         n, removed, runs, digest = [], [], [], []
-        for d, spans in enumerate(rows.column("spans").to_pylist()):
+        for d, (nth, spans) in enumerate(zip(rows.column("nth").to_pylist(), rows.column("spans").to_pylist())):
             text = buf[off[d] : off[d + 1]]
             size = len(text)
             edge = np.zeros(size + 1, np.int64)
+            if nth > 1 and size >= LENGTH:
+                spans = [{"lo": 0, "hi": size}]
             for s in spans or ():
                 edge[min(max(s["lo"], 0), size)] += 1
                 edge[min(s["hi"], size)] -= 1
@@ -301,28 +304,34 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc (the id, least for null), sub (the text's hash), doc_id, text."""
+    i = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(i, F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("sub"), i.alias("doc_id"), "text")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, spans: the covered spans of each document that has any (doc is the id, least for null)."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), "text")
-    dealt = rows.mapInArrow(_anchor_rows, _ROW).repartition("h").sortWithinPartitions("h", "c", "doc", "pos")
+    """doc, sub, spans: the covered spans of each document that has any."""
+    rows = _named(docs).drop("doc_id")
+    dealt = rows.mapInArrow(_anchor_rows, _ROW).repartition("h").sortWithinPartitions("h", "c", "doc", "sub", "pos")
     marks = written(dealt.mapInArrow(_settle, MARK), "marks")
     release(docs.sparkSession)
-    places = marks.where(F.col("kind") == ANCHOR).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("places"))
-    edges = rows.hint("merge").join(places, F.col("doc") == F.col("_doc")).select("doc", "text", "places")
-    contexts = edges.mapInArrow(_contexts, CONTEXT).repartition("key").sortWithinPartitions("key", "doc", "pos")
+    places = marks.where(F.col("kind") == ANCHOR).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("pos").alias("places"))
+    edges = rows.hint("merge").join(places, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub"))).select("doc", "sub", "text", "places")
+    contexts = edges.mapInArrow(_contexts, CONTEXT).repartition("key").sortWithinPartitions("key", "doc", "sub", "pos")
     spans = written(contexts.mapInArrow(_compare, SPAN), "spans")
     release(docs.sparkSession)
-    whole = marks.where(F.col("kind") == COVER).select("doc", (F.col("pos") - _REACH).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
-    return spans.unionByName(whole).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    whole = marks.where(F.col("kind") == COVER).select("doc", "sub", (F.col("pos") - _REACH).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
+    return spans.unionByName(whole).groupBy("doc", "sub").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     small_batches(docs.sparkSession)
-    spans = repeats(docs).withColumnRenamed("doc", "_doc")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").hint("merge")
-    both = rows.join(spans, F.coalesce("doc_id", F.lit(_NONE)) == F.col("_doc"), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans = repeats(docs).select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), "spans")
+    both = _named(docs).hint("merge").join(spans, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub")), "left")
+    nth = F.row_number().over(Window.partitionBy("doc", "sub").orderBy("doc"))  # of rows that repeat id and text; the join deals and sorts for it
+    return both.select("doc_id", "text", "spans", nth.alias("nth")).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:

@@ -1,8 +1,11 @@
 """Rows that repeat, share an id or have none are told apart: each row is decided by its own text."""
 
+import hashlib
 import random
 
-from quarry.llm import decontaminate, license_scan, near_dedup
+import numpy as np
+
+from quarry.llm import decontaminate, license_scan, near_dedup, suffix_dedup
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdeé") for _ in range(R.randint(2, 7))) for _ in range(300)]
@@ -55,6 +58,19 @@ def test_blocks_give_each_row_back_once(spark):
         assert left.columns == df.columns and sorted(r.k for r in left.collect()) == clean
 
 
+def test_suffix_dedup_tells_rows_apart(spark):
+    a, b, c = (prose(90) for _ in range(3))
+    rows = [(None, prose(20) + a), (None, prose(50)), (None, b + prose(60)), (None, prose(60) + a), (4, prose(40) + b), (4, prose(10) + c), (4, prose(70) + c), (4, c[:300] + b[:250]), (6, a + c), (6, a + c), (None, prose(50) + " twin"), (2, ""), (2, None), (9, "short"), (9, "short")]
+    rows += [rows[1], rows[10]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [tuple(r) for r in df.selectExpr("doc_id", "xxhash64(text) AS sub", "text").collect()]
+    order.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    data = [(t or "").encode() for _, _, t in order]
+    want = [(i, len(t), int(g.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for (i, _, _), t, g in zip(order, data, suffix_dedup.brute_force(data))]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_license_notices_that_stand_close(spark):
     mit, bsd = license_scan.TEMPLATES["MIT-notice"], license_scan.TEMPLATES["BSD-notice"]
     texts = [f"{mit}\n{mit}", f"{mit}\n" * 7, f"x {mit} y {bsd}\n{mit} z {mit}", f"Released under the MIT {mit}", f"Released under {mit} the MIT License", license_scan.TEMPLATES["ISC"] * 3]
