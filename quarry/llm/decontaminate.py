@@ -15,15 +15,13 @@ no rows. Columns other than doc_id, text and item_id are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.store import digest, written
-from quarry.llm.textcore import LOWER, WORD, Words, gram_hash, text_chunks, winnow
+from quarry.llm.textcore import LOWER, WORD, Words, gram_hash, member, text_chunks, winnow
 
 WINDOW = 8
 GRAM = 5
@@ -55,15 +53,6 @@ class Index:
         self.short = {n: np.unique(np.concatenate([gram_hash(words.hash[words.first[k] : words.first[k + 1]], np.zeros(n, int), n)[0] for k in ks])) for n, ks in short.items()}
 
 
-def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which values the sorted table has."""
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return table[at] == values
-
-
 def scan(words: Words, index: Index) -> dict[int, tuple[np.ndarray, set[int]]]:
     """document -> (its words that are hit, numbers of its items)."""
     g, ok = gram_hash(words.hash, words.doc, index.gram)
@@ -164,22 +153,6 @@ def stage(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     return docs.withColumn("_digest", digest()).join(bad, F.col("_digest") == F.col("_d"), "left_anti").drop("_digest")
 
 
-def brute_force(text: str | None, items: list[tuple[str, str]], window: int = WINDOW) -> tuple[int, int, int, str]:
-    """(n_words, n_hit, n_items, items_sha256) by comparing every position with every window; for tests."""
-    import re
-
-    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
-    ws, hit, found = cut(text), set(), set()
-    for name, t in items:
-        it = cut(t)
-        for x in range(max(1, len(it) - window + 1) if it else 0):
-            w = it[x : x + window]
-            for s in range(len(ws) - len(w) + 1):
-                if ws[s : s + len(w)] == w:
-                    hit |= set(range(s, s + len(w)))
-                    found.add(name)
-    return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.textcore import NOT_SPACE, PLAIN, Words, byte_table, gram_hash, per_doc, prefix_hash, repeated, span_hash, spans, text_chunks
+from quarry.llm.textcore import NOT_SPACE, PLAIN, Words, byte_table, gram_hash, per_doc, repeated, span_hash, spans, text_chunks
 
 #: Byte classes of the histogram.
 _KINDS = ("other", "lower", "upper", "digit", "blank", "newline", "lead", "tail", "symbol", "shout", "ask", "stop")
@@ -28,14 +28,19 @@ FEATURES = (
 )
 
 
+def histogram(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bytes of each kind in each document."""
+    n, kinds = len(off) - 1, len(_KINDS)
+    return np.bincount(np.repeat(np.arange(n) * kinds, np.diff(off)) + _KIND[buf], minlength=kinds * n).reshape(n, kinds)
+
+
 class Stats:
     """COUNTS and FEATURES of a chunk's documents; an empty text has zeros."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         n = len(off) - 1
         self.words = w = Words(buf, off, NOT_SPACE, PLAIN)
-        doc = np.repeat(np.arange(n), np.diff(off))
-        self.hist = np.bincount(doc * 12 + _KIND[buf], minlength=12 * n).reshape(n, 12)
+        self.hist = histogram(buf, off)
         k = {name: self.hist[:, i] for i, name in enumerate(_KINDS)}
         n_words = w.counts
         chars = np.diff(off) - k["tail"]
@@ -47,7 +52,7 @@ class Stats:
         full[full] = w.s[at[full]] < e[full]  # lines with a word
         s, e, of = s[full], e[full], of[full]
         lines = np.bincount(of, minlength=n)
-        dup = per_doc(repeated(span_hash(prefix_hash(buf), s, e), of)[1], of, n)
+        dup = per_doc(repeated(span_hash(w.sums, s, e), of)[1], of, n)
 
         g, ok = gram_hash(w.hash, w.doc, 3)
         at = np.flatnonzero(ok)

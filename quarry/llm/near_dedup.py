@@ -367,28 +367,3 @@ def stage(docs: DataFrame) -> DataFrame:
     keyed = left.withColumn("_digest", digest())
     once = keyed.join(rest.where("kept"), same, "left_semi").withColumn("_key", F.col("doc_id").cast("long")).dropDuplicates(["_key", "_digest"])
     return keyed.join(rest, same, "left_anti").drop("_digest").unionByName(once.drop("_key", "_digest"))
-
-
-def brute_force(texts: list[str]) -> list[int]:
-    """The class (least index) of each text by comparing all pairs; for tests."""
-    import re
-    from collections import Counter
-
-    sets = []
-    for t in texts:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
-        sets.append(Counter(tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))) if w else Counter())
-    cls = list(range(len(texts)))
-
-    def root(x):
-        while cls[x] != x:
-            x = cls[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            inter, union = sum((sets[i] & sets[j]).values()), sum((sets[i] | sets[j]).values())
-            if texts[i] == texts[j] or (union and inter / union >= THRESHOLD):
-                a, b = sorted((root(i), root(j)))
-                cls[b] = a
-    return [root(i) for i in range(len(texts))]

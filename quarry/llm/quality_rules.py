@@ -62,19 +62,3 @@ def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn(docs, labels)
     counts, features = free_name(docs.columns, "_counts"), free_name(docs.columns, "_features")
     return with_stats(docs, counts, features).where(~base_failed(counts) & verdict(rules, features)).drop(counts, features)
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, int, int]:
-    """COUNTS of one text, plainly; for tests."""
-    import re
-
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    seen, dup = set(), 0
-    for line in text.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in seen
-            seen.add(line)
-    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = {i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.store import release, small_batches, written
-from quarry.llm.textcore import mix, prefix_hash, span_hash, text_chunks
+from quarry.llm.textcore import gram_bytes, mix, prefix_hash, span_hash, text_chunks
 
 LENGTH = 100
 GRAM = 24
@@ -56,8 +56,7 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if n < LENGTH:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     cs = prefix_hash(buf)
-    at = np.arange(n - GRAM + 1)
-    g = span_hash(cs, at, at + GRAM)
+    g = gram_bytes(cs, GRAM)
     low = sliding((g >> np.uint64(32)).astype(np.uint32), w, np.minimum)  # of each LENGTH bytes
     ends = np.repeat(off[1:], np.diff(off))
     ok = np.arange(len(low)) + LENGTH <= ends[: len(low)]
@@ -332,18 +331,3 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     both = _named(docs).hint("merge").join(spans, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub")), "left")
     nth = F.row_number().over(Window.partitionBy("doc", "sub").orderBy("doc"))  # of rows that repeat id and text; the join deals and sorts for it
     return both.select("doc_id", "text", "spans", nth.alias("nth")).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def brute_force(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """Which bytes of each text (in order of ids) go; for tests."""
-    seen: set[bytes] = set()
-    out = []
-    for t in texts:
-        gone = np.zeros(len(t), bool)
-        for s in range(len(t) - length + 1):
-            x = t[s : s + length]
-            if x in seen:
-                gone[s : s + length] = True
-            seen.add(x)
-        out.append(gone)
-    return out

@@ -1,7 +1,11 @@
 """Vectorised text primitives over the UTF-8 bytes of Arrow batches.
 
 All functions take a chunk: ``buf`` (uint8, the texts one after another) and ``off`` (int64 offsets, one more than
-documents). A chunk holds whole documents and about CHUNK bytes, so memory follows the chunk, not the batch.
+documents). A chunk holds whole documents, about CHUNK bytes and at most ROWS rows, so memory follows the chunk, not the
+batch. A longer document is a chunk of its own and takes some 60 bytes of memory a byte while it is worked on.
+
+Hashes of spans join two polynomials, one modulo 2^64 and one modulo the prime 2^31 - 1, since the first alone is equal
+for some pairs of long strings whatever its base (Thue and Morse's).
 """
 
 from __future__ import annotations
@@ -10,13 +14,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+ROWS = 4_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_Q = np.uint64((1 << 31) - 1)
+_R = np.uint64(1_103_515_245)
+_RINV = np.uint64(pow(int(_R), -1, int(_Q)))
+_tables: list[np.ndarray] = []
 
 
-def text_chunks(batches, column: str = "text", limit: int = CHUNK):
+def text_chunks(batches, column: str = "text", limit: int = CHUNK, rows: int = ROWS):
     """(rows, buf, off) for runs of whole rows; null texts count as empty."""
     for batch in batches:
         n = batch.num_rows
@@ -27,7 +35,7 @@ def text_chunks(batches, column: str = "text", limit: int = CHUNK):
         data = np.frombuffer(arr.buffers()[2], np.uint8) if arr.buffers()[2] else np.zeros(0, np.uint8)
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1), i + rows)
             yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
 
@@ -54,14 +62,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables[0]) < n:
-        n = max(n, CHUNK + 1)
-        for k, base in enumerate((_P, _PINV)):
-            t = np.full(n, base, np.uint64)
-            t[0] = 1
-            _tables[k] = np.cumprod(t)
-    return _tables[0][:n], _tables[1]
+def _prime_powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^i modulo the prime, for i < n, by doubling."""
+    out = np.ones(1, np.uint64)
+    step = base
+    while len(out) < n:
+        out = np.concatenate([out, out * step % _Q])
+        step = step * step % _Q
+    return out[:n].astype(np.uint32)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of both bases and of their inverses; those of a chunk's length are kept."""
+    if _tables and n <= len(_tables[0]):
+        return [t[:n] for t in _tables]
+    size, made = max(n, CHUNK + 1), []
+    for base in (_P, _PINV):
+        t = np.full(size, base, np.uint64)
+        t[0] = 1
+        made.append(np.cumprod(t))
+    made += [_prime_powers(base, size) for base in (_R, _RINV)]
+    if size == CHUNK + 1:
+        _tables[:] = made
+    return [t[:n] for t in made]
 
 
 def spans(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,21 +102,35 @@ def spans(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, np.flatnonzero(mask & ~after) + 1, np.searchsorted(off, s, "right") - 1
 
 
-def prefix_hash(buf: np.ndarray, fold: np.ndarray = PLAIN) -> np.ndarray:
+def prefix_hash(buf: np.ndarray, fold: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative sums from which span_hash takes the hash of any span."""
-    pw, _ = _powers(len(buf) + 1)
+    n = len(buf)
+    pw, _, rw, _ = _powers(n + 1)
     v = fold[buf].astype(np.uint64)
     v += np.uint64(1)
-    v *= pw[: len(buf)]
-    cs = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(v, out=cs[1:])
-    return cs
+    cs, ds = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(v * pw[:n], out=cs[1:])
+    v *= rw[:n]
+    if n >= 1 << 24:  # shorter sums can't overflow
+        v %= _Q
+    np.cumsum(v, out=ds[1:])
+    return cs, ds
+
 
+def gram_bytes(sums: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """64-bit hashes of the n bytes from each place, for short n: the first polynomial alone."""
+    cs = sums[0]
+    _, inv, _, _ = _powers(len(cs))
+    k = len(cs) - n
+    return mix((cs[n:] - cs[:k]) * inv[:k] + np.uint64(n))
 
-def span_hash(cs: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+
+def span_hash(sums: tuple[np.ndarray, np.ndarray], s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """64-bit hashes of buf[s:e]; equal bytes have equal hashes in any chunk."""
-    _, inv = _powers(len(cs))
-    return mix((cs[e] - cs[s]) * inv[s] + (e - s).astype(np.uint64))
+    cs, ds = sums
+    _, inv, _, rinv = _powers(len(cs))
+    second = (ds[e] - ds[s]) % _Q * rinv[s] % _Q
+    return mix((cs[e] - cs[s]) * inv[s] + (e - s).astype(np.uint64) + mix(second))
 
 
 class Words:
@@ -102,7 +139,8 @@ class Words:
     def __init__(self, buf, off, table=WORD, fold=LOWER):
         self.buf, self.off, self.fold = buf, off, fold
         self.s, self.e, self.doc = spans(table[buf], off)
-        self.hash = span_hash(prefix_hash(buf, fold), self.s, self.e)
+        self.sums = prefix_hash(buf, fold)
+        self.hash = span_hash(self.sums, self.s, self.e)
         self.first = np.searchsorted(self.doc, np.arange(len(off)), "left")
 
     @property
@@ -146,6 +184,15 @@ def winnow(g: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at[whole])
 
 
+def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values the sorted table has."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return table[at] == values
+
+
 def per_doc(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, values, n) if len(doc) else np.zeros(n)
 

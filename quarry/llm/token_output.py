@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.store import new_folder, release, written
-from quarry.llm.textcore import span_hash, text_chunks
+from quarry.llm.store import new_folder, release, small_batches
+from quarry.llm.textcore import member, mix, text_chunks
 
 END_ID = 2
 SHARD_BYTES = 24_000_000
-CACHE_WORDS = 1_200_000
+#: Pre-tokens that a worker remembers (some 40 bytes each), and ids above which one isn't kept.
+CACHE_WORDS, LONG = 400_000, 64
 #: Pre-tokens that are encoded in one string.
 RUN_WORDS = 500
 _HEAD = struct.Struct("<QI")
@@ -77,54 +78,89 @@ def _classes() -> np.ndarray:
     """Class of each code point in the vocabulary's split pattern."""
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.full(0x110000, _OTHER, np.uint8)
-    for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
-        found = np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)
-        table[found] = kind
+    for lo, hi in ((0, 0xD800), (0xE000, 0x40000), (0xE0000, 0x110000)):  # beyond: none is assigned
+        every = np.arange(lo, hi, dtype="<u4").tobytes().decode("utf-32-le")
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for run in regex.findall(pattern, every):
+                table[np.frombuffer(run.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
-def pieces(points: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def byte_classes(buf: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The class of each byte's character, of valid UTF-8."""
+    out = classes[:256][buf]
+    x = buf.astype(np.uint32) if (buf >= 0xC0).any() else buf
+    for size, lo, hi in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        at = np.flatnonzero((buf >= lo) & (buf < hi))
+        if len(at):
+            point = x[at] & (0x7F >> size)
+            for j in range(1, size):
+                point = point << 6 | x[at + j] & 0x3F
+            kind = classes[point]
+            for j in range(size):
+                out[at + j] = kind
+    return out
+
+
+def pieces(buf: np.ndarray, off: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens: 's|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\\sLN]+|\\s+(?!\\S)|\\s+, texts apart."""
-    n = len(points)
+    n = len(buf)
     if not n:
         return np.zeros(0, np.int64)
-    c = classes[points]
     first = np.zeros(n + 1, bool)
     first[off] = True
     start = np.ones(n, bool)
     start[1:] = (c[1:] != c[:-1]) | first[1:n]
     space = c == _SPACE
     # the last of a run of white space, before other text: it stands alone, or leads the text if it is a blank
-    last = np.zeros(n, bool)
-    last[:-1] = space[:-1] & ~space[1:] & ~first[1:n]
-    start |= last
-    lead = last & (points == 0x20)
-    start[1:][lead[:-1]] = False
+    last = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])
+    start[last[buf[last] == 0x20] + 1] = False
+    while (inner := (buf[last] & 0xC0) == 0x80).any():
+        last = last - inner
+    start[last] = True
     # an apostrophe that is a run of its own and that no blank leads takes its ending along
-    mark = np.flatnonzero((points[:-1] == 0x27) & start[:-1] & (c[1:] == _LETTER) & ~first[1:n]) if n > 1 else []
-    for i in mark:
-        end = int(off[np.searchsorted(off, i, "right")])
-        two = "".join(map(chr, points[i + 1 : min(i + 3, end)].tolist()))
-        k = 2 if two in ("re", "ve", "ll") else 1 if two[:1] in ("s", "t", "m", "d") else 0
-        if k:
-            start[i + 1] = False
-            if i + 1 + k < end and c[i + 1 + k] == _LETTER:
-                start[i + 1 + k] = True
+    if n > 1:
+        mark = np.flatnonzero((buf[:-1] == 0x27) & start[:-1] & (c[1:] == _LETTER) & ~first[1:n])
+        ends = off[np.searchsorted(off, mark, "right")].tolist()
+        for i, end in zip(mark.tolist(), ends):
+            two = buf[i + 1 : min(i + 3, end)].tobytes()
+            k = 2 if two in (b"re", b"ve", b"ll") else 1 if two[:1] in (b"s", b"t", b"m", b"d") else 0
+            if k:
+                start[i + 1] = False
+                if i + 1 + k < end and c[i + 1 + k] == _LETTER:
+                    start[i + 1 + k] = True
     return np.flatnonzero(start)
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def piece_keys(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[s:e], eight bytes a round; those of at most eight bytes differ if these do."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    left = e - s
+    h = mix(mix(left.astype(np.uint64)) ^ words[s] & _MASKS[np.minimum(left, 8)])
+    live, step = np.flatnonzero(left > 8), 8
+    while len(live):
+        rest = left[live] - step
+        h[live] = mix(h[live] ^ words[s[live] + step] & _MASKS[np.minimum(rest, 8)])
+        live, step = live[rest > 8], step + 8
+    return h
+
+
 class Encoder:
     """Encodes texts with the tokenizers library; pre-tokens it has met before are looked up.
 
     Merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in a row. New ones are encoded many to a
-    string, a line feed between them, which is a pre-token of its own. They are known by 64-bit hashes of their bytes.
-    Vocabularies whose split isn't the one of ``pieces`` are encoded text by text.
+    string, a line feed between them, which is a pre-token of its own. They are known by 64-bit hashes of their bytes,
+    in sorted arrays. Beyond CACHE_WORDS the half that was met least often goes, and so do long ones.
+    Vocabularies whose split isn't the one of ``pieces``, and texts that aren't UTF-8, are encoded text by text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
@@ -135,76 +171,100 @@ class Encoder:
         self.classes = _classes() if self.split else None
         feed = self.tok.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
-        self.clear()
-
-    def clear(self):
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        if self.split:  # for pre-tokens that are cut already
+            self.known = Tokenizer.from_file(path)
+            self.known.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pre-tokens, and the count of each."""
-        if self.feed is not None and not any(w[1:2].isspace() or w[:1] != " " and w[:1].isspace() for w in words):
-            runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
-            found = self.tok.encode_batch_fast(["\n".join(r) + "\n" for r in runs], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
-            ends = np.flatnonzero(ids == self.feed)
-            if len(ends) == len(words):
-                return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+        """Ids of the strings, one after another, and the count of each."""
         found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, n.sum()), n
 
-    def _learn(self, keys: list[int], words: list[str]):
-        blank = [i for i, w in enumerate(words) if w.isspace()]
-        if blank:  # runs of white space are encoded one by one
-            rest = sorted(set(range(len(words))) - set(blank))
-            for some in (blank, rest):
-                self._add([keys[i] for i in some], *self._encode([words[i] for i in some])) if some else None
-        else:
-            self._add(keys, *self._encode(words))
-
-    def _add(self, keys: list[int], ids: np.ndarray, n: np.ndarray):
-        k = len(self.known)
-        while k + len(n) > len(self.n):
-            self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.at[k : k + len(n)] = self.used + np.cumsum(n) - n
-        self.n[k : k + len(n)] = n
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known |= zip(keys, range(k, k + len(n)))
+    def _encode_plain(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of buf[s:e], pre-tokens without white space but for a leading blank: RUN_WORDS to a string."""
+        n = e - s + 1  # with the line feed
+        ends = np.cumsum(n)
+        joined = np.append(buf, np.uint8(0))[np.repeat(s - (ends - n), n) + np.arange(ends[-1])]
+        joined[ends - 1] = 10
+        cut = [0, *ends[RUN_WORDS - 1 :: RUN_WORDS].tolist(), int(ends[-1])]
+        data = joined.tobytes()
+        found = self.known.encode_batch_fast([data[a:b].decode() for a, b in zip(cut, cut[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        feeds = np.flatnonzero(ids == self.feed)
+        if len(feeds) != len(s):
+            return self._encode([buf[a:b].tobytes().decode() for a, b in zip(s.tolist(), e.tolist())])
+        return np.delete(ids, feeds), np.diff(feeds, prepend=-1) - 1
+
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray, c: np.ndarray):
+        blank = (c[s] == _SPACE) & ((e - s == 1) | (buf[s] != 0x20) | (c[np.minimum(s + 1, len(c) - 1)] == _SPACE))
+        if self.feed is None:
+            blank[:] = True
+        every, at, counts, ids = [self.keys], [self.at], [self.n], [self.ids]
+        used = len(self.ids)
+        for some, plain in ((blank, False), (~blank, True)):
+            if some.any():
+                a, b = s[some], e[some]
+                more, n = self._encode_plain(buf, a, b) if plain else self._encode([buf[x:y].tobytes().decode() for x, y in zip(a.tolist(), b.tolist())])
+                every.append(keys[some])
+                at.append(used + np.cumsum(n) - n)
+                counts.append(n)
+                ids.append(more)
+                used += len(more)
+        joined = np.concatenate(every)
+        order = np.argsort(joined, kind="stable")  # sorted runs merge
+        self.keys, self.at, self.n, self.ids = joined[order], np.concatenate(at)[order], np.concatenate(counts)[order].astype(np.int32), np.concatenate(ids)
+        self.met = np.concatenate([self.met, np.zeros(len(order) - len(self.met), np.int32)])[order]
+
+    def _sweep(self):
+        most = CACHE_WORDS // 2
+        keep = self.n <= LONG
+        if np.count_nonzero(keep) > most:
+            at = np.flatnonzero(keep)
+            keep[at[np.argpartition(-self.met[at], most)[most:]]] = False
+        self.keys, old, self.n, self.met = self.keys[keep], self.at[keep], self.n[keep], self.met[keep] // 2
+        ends = np.cumsum(self.n, dtype=np.int64)
+        self.at = ends - self.n
+        self.ids = self.ids[np.repeat(old - self.at, self.n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk's texts, and the count of each text."""
-        text = buf.tobytes().decode("utf-8", "replace")
-        if not self.split or any(s in text for s in self.special):
-            found = self.tok.encode_batch_fast([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off, off[1:])], add_special_tokens=False)
+        data = buf.tobytes()
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = None
+        if text is None or not self.split or any(s in text for s in self.special):
+            found = self.tok.encode_batch_fast([data[a:b].decode("utf-8", "replace") for a, b in zip(off.tolist(), off[1:].tolist())], add_special_tokens=False)
             return np.fromiter((i for e in found for i in e.ids), np.uint32), np.array([len(e.ids) for e in found], np.int64)
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        lead = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-        chars = lead[off]
-        s = pieces(points, chars, self.classes)
-        e = np.append(s[1:], len(points))
+        del text, data
+        c = byte_classes(buf, self.classes)
+        s = pieces(buf, off, c)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        pos = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
-        from quarry.llm.textcore import prefix_hash
-
-        keys, some, which = np.unique(span_hash(prefix_hash(buf), pos[s], pos[e]), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        if len(self.known) + len(keys) > CACHE_WORDS:
-            self.clear()
-        if new := [i for i, h in enumerate(keys) if h not in self.known]:
-            at = some[new]
-            self._learn([keys[i] for i in new], [text[a:b] for a, b in zip(s[at].tolist(), e[at].tolist())])
-        k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
-        n = self.n[k]
+        e = np.append(s[1:], len(buf))
+        h = piece_keys(buf, s, e)
+        order = np.argsort(h)
+        h = h[order]
+        lead = np.ones(len(h), bool)
+        lead[1:] = h[1:] != h[:-1]
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(lead) - 1
+        keys, some, at = h[lead], order[lead], np.flatnonzero(lead)
+        new = ~member(keys, self.keys)
+        if new.any():
+            self._learn(keys[new], buf, s[some[new]], e[some[new]], c)
+        k = np.searchsorted(self.keys, keys)
+        self.met[k] += np.diff(at, append=len(h)).astype(np.int32)
+        n = self.n[k].astype(np.int64)[which]
         ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[k] - (ends - n), n) + np.arange(ends[-1])]
-        per = np.concatenate([[0], ends])[np.searchsorted(s, chars, "left")]
+        ids = self.ids[np.repeat(self.at[k][which] - (ends - n), n) + np.arange(ends[-1])]
+        per = np.concatenate([[0], ends])[np.searchsorted(s, off, "left")]
+        if len(self.keys) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
+            self._sweep()
         return ids, np.diff(per)
 
 
@@ -214,15 +274,17 @@ _encoders: dict[str, Encoder] = {}
 def _writer(path: str, end_id: int):
     def write(batches):
         if path not in _encoders:
+            _encoders.clear()
             _encoders[path] = Encoder(path)
         encode = _encoders[path]
-        for rows, buf, off in text_chunks(batches, limit=1_000_000):
+        for rows, buf, off in text_chunks(batches):
             ids, counts = encode(buf, off)
             out, at = [], 0
             for doc_id, n in zip(rows.column("doc_id").to_pylist(), counts.tolist()):
                 out.append(frame(pack(doc_id, np.append(ids[at : at + n], np.uint32(end_id))))[:-1])  # the writer ends each record
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        pa.default_memory_pool().release_unused()
 
     return write
 
@@ -230,6 +292,7 @@ def _writer(path: str, end_id: int):
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` and write its shards to ``path``, in ascending doc_id order over files in name order."""
     spark = docs.sparkSession
+    small_batches(spark, 4)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
@@ -243,15 +306,23 @@ INDEX = "shard string, offset long, bytes long, doc_id long, n_tokens long, firs
 
 
 def _index(batches):
+    names = ["shard", "offset", "bytes", "doc_id", "n_tokens", "first", "ids_crc32"]
+
+    def out(name, rows):
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names)
+
     for batch in batches:
-        for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-            data, rows, first = data.as_buffer().to_pybytes(), [], 0
-            for at, payload in records(data):
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            name, rows, first = path.rsplit("/", 1)[-1], [], 0
+            for at, payload in records(memoryview(content.as_buffer())):
                 doc_id, ids = unpack(payload)
                 rows.append((at, len(payload) + 17, doc_id, len(ids), first, zlib.crc32(ids.tobytes())))
                 first += len(ids)
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(rows), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["shard", "offset", "bytes", "doc_id", "n_tokens", "first", "ids_crc32"])
+                if len(rows) == 10_000:
+                    yield out(name, rows)
+                    rows = []
+            yield out(name, rows)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.features import Stats, fold, labelled
+from quarry.llm.features import fold, histogram, labelled
 from quarry.llm.learning import BoostedTrees
-from quarry.llm.textcore import LOWER, NOT_SPACE, WORD, Words, byte_table, per_doc, text_chunks
+from quarry.llm.textcore import LOWER, WORD, Words, byte_table, member, per_doc, text_chunks
 
 SAMPLE = 12_000
 FOLDS, HELD_OUT = 5, 0
@@ -41,13 +41,6 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.unique(Words(np.frombuffer(b"".join(data), np.uint8), off).hash)
 
 
-def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table) or not len(values):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
-
-
 class Features:
     def __init__(self, strong: list[str], weak: list[str]):
         self.strong, self.weak, self.you = word_hashes(strong), word_hashes(weak), word_hashes(YOU)
@@ -56,10 +49,10 @@ class Features:
         n = len(off) - 1
         w = Words(buf, off, WORD, LOWER)
         some = np.maximum(w.counts, 1)
-        strong, weak = _in(w.hash, self.strong), _in(w.hash, self.weak)
+        strong, weak = member(w.hash, self.strong), member(w.hash, self.weak)
         leet = Words(buf, off, _LEET_WORD, _LEET)
-        undone = _in(leet.hash, self.strong)
-        you = np.flatnonzero(_in(w.hash, self.you))
+        undone = member(leet.hash, self.strong)
+        you = np.flatnonzero(member(w.hash, self.you))
         at = np.flatnonzero(strong)
         k = np.searchsorted(you, at)
         near = np.zeros(len(at), bool)
@@ -76,7 +69,7 @@ class Features:
             pairs = np.unique(np.stack([w.doc[strong].astype(np.uint64), w.hash[strong]], 1), axis=0)
             distinct = np.bincount(pairs[:, 0].astype(int), minlength=n).astype(float)
         count = per_doc(strong, w.doc, n)
-        hist = Stats(buf, off).hist
+        hist = histogram(buf, off)
         letters = np.maximum(hist[:, 1] + hist[:, 2] + hist[:, 6], 1)
         return np.stack([
             count / some, np.minimum(count, 20), distinct, per_doc(weak, w.doc, n) / some, per_doc(undone, leet.doc, n) / some, per_doc(near, w.doc[at], n) / some,

@@ -14,6 +14,8 @@ from pyspark.sql import types as T  # noqa: E402
 from quarry.llm import decontaminate, language_id, license_scan, mixing, near_dedup, quality_gam, quality_rules, suffix_dedup, token_output, toxicity  # noqa: E402
 from quarry.llm import queries as Q  # noqa: E402
 
+from . import plain  # noqa: E402
+
 R = random.Random(7)
 WORDS = ["".join(R.choice("abcdeé") for _ in range(R.randint(2, 7))) for _ in range(300)]
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -61,7 +63,7 @@ def test_decontaminate(spark, docs, empty):
     for limit in (1 << 20, 400):
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.decontaminate(docs, bench, limit=limit).collect()}
         for i, t in enumerate(TEXTS):
-            assert got[i if i != 3 else None] == decontaminate.brute_force(t, kept)
+            assert got[i if i != 3 else None] == plain.decontaminated(t, kept)
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
@@ -94,7 +96,7 @@ def test_suffix_dedup(docs, empty):
 
     order = sorted(range(len(TEXTS)), key=lambda i: -1 if i == 3 else i)
     data = [(TEXTS[i] or "").encode() for i in order]
-    gone = suffix_dedup.brute_force(data)
+    gone = plain.repeated_bytes(data)
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs).collect()}
     for i, t, g in zip(order, data, gone):
         r = got[i if i != 3 else None]
@@ -130,7 +132,7 @@ def test_rules(docs, empty, labels):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
     for i, t in enumerate(TEXTS):
         r = got[i if i != 3 else None]
-        want = quality_rules.brute_force(t)
+        want = plain.rules_counts(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
     assert quality_rules.quality_rules(empty, labels).count() == 0
@@ -163,7 +165,7 @@ def test_near_dedup(spark, docs, empty):
             texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(df).collect()}
-    assert [got[i] for i in range(len(texts))] == near_dedup.brute_force(texts)
+    assert [got[i] for i in range(len(texts))] == plain.near_classes(texts)
     assert near_dedup.near_dedup(docs).count() == len(TEXTS)
     assert near_dedup.near_dedup(empty).count() == 0
 

@@ -7,6 +7,8 @@ import numpy as np
 
 from quarry.llm import decontaminate, license_scan, near_dedup, suffix_dedup
 
+from . import plain
+
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdeé") for _ in range(R.randint(2, 7))) for _ in range(300)]
 
@@ -27,7 +29,7 @@ def test_near_dedup_keeps_one_row_a_class(spark):
     rows = [(1, a), (1, a), (None, a), (None, b), (None, c), (None, c), (None, near(c)), (7, d), (7, e), (8, d), (3, near(d)), (None, None), (None, None), (9, f), (9, f), (9, near(f, 1)), (None, "")]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(3)
     texts = [t if t is not None else f"null {k}" for k, (_, t) in enumerate(rows)]
-    cls = near_dedup.brute_force(texts)
+    cls = plain.near_classes(texts)
     got = near_dedup.near_dedup(df).collect()
     assert len(got) == len(rows) and sum(r.kept for r in got) == len(set(cls))
     least = {k: min((i for (i, _), x in zip(rows, cls) if x == k and i is not None), default=None) for k in cls}
@@ -48,8 +50,8 @@ def test_blocks_give_each_row_back_once(spark):
     # equal ids (or none) and equal numbers of words, other hits
     rows = [(5, pad[0] + " " + passage), (5, pad[1] + " " + other), (5, pad[2] + " " + prose(30)), (5, pad[2] + " " + prose(30)), (None, pad[0] + " " + passage), (None, pad[3] + " " + prose(30)), (None, pad[3] + " " + prose(30)), (5, pad[0] + " " + passage), (None, None), (None, None)]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
-    want = sorted(((i, *decontaminate.brute_force(t, items)) for i, t in rows), key=str)
-    clean = [k for k, (_, t) in enumerate(rows) if decontaminate.brute_force(t, items)[2] < decontaminate.MIN_ITEMS]
+    want = sorted(((i, *plain.decontaminated(t, items)) for i, t in rows), key=str)
+    clean = [k for k, (_, t) in enumerate(rows) if plain.decontaminated(t, items)[2] < decontaminate.MIN_ITEMS]
     for limit in (1 << 20, 300):
         assert (sum(1 for _ in decontaminate.blocks(bench, limit)) > 1) == (limit == 300)
         got = decontaminate.decontaminate(df, bench, limit=limit).collect()
@@ -66,7 +68,7 @@ def test_suffix_dedup_tells_rows_apart(spark):
     order = [tuple(r) for r in df.selectExpr("doc_id", "xxhash64(text) AS sub", "text").collect()]
     order.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     data = [(t or "").encode() for _, _, t in order]
-    want = [(i, len(t), int(g.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for (i, _, _), t, g in zip(order, data, suffix_dedup.brute_force(data))]
+    want = [(i, len(t), int(g.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for (i, _, _), t, g in zip(order, data, plain.repeated_bytes(data))]
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
