@@ -3,8 +3,8 @@
 Words are runs of digits, letters and non-ASCII characters, A-Z in lower case. A window is WINDOW consecutive words of
 a benchmark item, or all words of a shorter item. Documents and items are fingerprinted alike: of each WINDOW words'
 k-grams the least hash is kept, so any shared run of WINDOW words has a fingerprint in common. Fingerprints that meet
-are extended: the windows around the hit are compared word by word, so hashes only find candidates. Items of fewer
-words than a window are looked up at every position instead.
+are extended: the windows around the hit are looked up and compared word by word, so hashes only find candidates. Items
+of fewer words than a window are looked up at every position instead.
 
 The benchmark is the stated query set. It is sent to the executors in blocks of at most BLOCK_BYTES of text, and each
 block meets all documents, so what is broadcast is bounded whatever the benchmark's size.
@@ -20,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.features import free_name
 from quarry.llm.store import digest, written
-from quarry.llm.textcore import LOWER, WORD, Words, gram_hash, member, text_chunks, winnow
+from quarry.llm.textcore import LOWER, WORD, Words, gram_hash, member, text_chunks, tidied, winnow
 
 WINDOW = 8
 GRAM = 5
 BLOCK_BYTES = 16_000_000
-MIN_ITEMS = 2
+#: The query calls a document contaminated from two items on; the stage removes it from the first.
+MIN_ITEMS, STAGE_ITEMS = 2, 1
 
 
 class Index:
-    """Fingerprints and windows of one block of benchmark items."""
+    """Fingerprints and windows of one block of benchmark items, in arrays: some 60 bytes a word."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
@@ -38,19 +40,26 @@ class Index:
         number = {x: k for k, x in enumerate(self.names)}
         data = [t.encode() for _, t in items]
         off = np.cumsum([0, *map(len, data)])
-        buf = np.frombuffer(b"".join(data), np.uint8)
-        words = Words(buf, off)
-        self.windows: dict[tuple, set[int]] = {}
-        short: dict[int, list] = {}
-        for k, (name, _) in enumerate(items):
-            ws = words.doc_words(k)
-            if ws and len(ws) < window:
-                short.setdefault(len(ws), []).append(k)
-            for x in range(max(1, len(ws) - window + 1) if ws else 0):
-                self.windows.setdefault(tuple(ws[x : x + window]), set()).add(number[name])
+        words = Words(np.frombuffer(b"".join(data), np.uint8), off)
+        self.bytes, self.s, self.e = LOWER[words.buf].tobytes(), words.s, words.e
         g, ok = gram_hash(words.hash, words.doc, gram)
         self.prints = np.unique(g[winnow(g, ok, window - gram + 1)])
-        self.short = {n: np.unique(np.concatenate([gram_hash(words.hash[words.first[k] : words.first[k + 1]], np.zeros(n, int), n)[0] for k in ks])) for n, ks in short.items()}
+        of = np.array([number[name] for name, _ in items], np.int64)
+        counts = words.counts
+        #: sizes of windows, and of each size the sorted hashes with the first word and the item of each
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({window, *np.unique(counts[(counts > 0) & (counts < window)]).tolist()}):
+            h, same = gram_hash(words.hash, words.doc, n)
+            at = np.flatnonzero(same & ((counts[words.doc[: len(h)]] == n) | (n == window)))
+            order = np.argsort(h[at], kind="stable")
+            at = at[order]
+            self.tables[n] = (h[at], at, of[words.doc[at]])
+
+    def items(self, n: int, h: int, text: list[bytes]) -> set[int]:
+        """Numbers of the items that have the n words as a window."""
+        keys, at, of = self.tables[n]
+        lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        return {int(of[k]) for k in range(lo, hi) if all(self.bytes[self.s[at[k] + j] : self.e[at[k] + j]] == w for j, w in enumerate(text))}
 
 
 def scan(words: Words, index: Index) -> dict[int, tuple[np.ndarray, set[int]]]:
@@ -59,20 +68,23 @@ def scan(words: Words, index: Index) -> dict[int, tuple[np.ndarray, set[int]]]:
     at = winnow(g, ok, index.window - index.gram + 1)
     at = at[member(g[at], index.prints)]
     span = index.window - index.gram
-    starts = {(int(s), index.window) for p in at for s in range(max(0, p - span), p + 1)}
-    for n, table in index.short.items():
+    places = np.unique(np.concatenate([at - j for j in range(span + 1)])) if len(at) else at
+    found_at: list[tuple[int, int, int]] = []
+    for n, (table, _, _) in index.tables.items():
+        if n == index.window and not len(places):
+            continue
         h, same = gram_hash(words.hash, words.doc, n)
-        starts |= {(int(s), n) for s in np.flatnonzero(same & member(h, table))}
+        where = places[(places >= 0) & (places < len(h))] if n == index.window else np.arange(len(h))
+        where = where[same[where] & member(h[where], table)]
+        found_at += [(s, n, x) for s, x in zip(where.tolist(), h[where])]
     out: dict[int, tuple[np.ndarray, set[int]]] = {}
     seen: dict[int, list[bytes]] = {}
-    for s, n in sorted(starts):
+    for s, n, h in sorted(found_at, key=lambda x: x[:2]):
         d = int(words.doc[s])
         a, b = int(words.first[d]), int(words.first[d + 1])
-        if s + n > b:
-            continue
         if d not in seen:
-            seen = {d: words.doc_words(d)}  # starts are sorted, so one document at a time
-        if items := index.windows.get(tuple(seen[d][s - a : s - a + n])):
+            seen = {d: words.doc_words(d)}  # places are sorted, so one document at a time
+        if items := index.items(n, h, seen[d][s - a : s - a + n]):
             hit, found = out.setdefault(d, (np.zeros(b - a, bool), set()))
             hit[s - a : s - a + n] = True
             found |= items
@@ -116,7 +128,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     parts = []
     for items in blocks(benchmark, limit):
         shared = spark.sparkContext.broadcast(Index(items, window, gram))
-        parts.append(slim.mapInArrow(_matcher(shared), HITS))
+        parts.append(slim.mapInArrow(tidied(_matcher(shared)), HITS))
     if len(parts) == 1:
         return parts[0]
     # several blocks: hits follow from the text alone, so they are put together by text; the first block has all rows
@@ -146,12 +158,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     )
 
 
-def stage(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents that are not contaminated, with their columns. Whether one is follows from its text, not its id."""
-    counted = hits(docs, benchmark, **kw).where(F.size("items") >= MIN_ITEMS)
-    bad = written(counted.select(F.col("digest").alias("_d")).distinct(), "contaminated")
-    return docs.withColumn("_digest", digest()).join(bad, F.col("_digest") == F.col("_d"), "left_anti").drop("_digest")
+def stage(docs: DataFrame, benchmark: DataFrame, min_items: int = STAGE_ITEMS, **kw) -> DataFrame:
+    """The documents in which no benchmark item's window occurs, whole, with their columns, whatever their names.
 
+    Whether a document goes follows from its text, not its id: the digests of the texts that go are written, and an
+    anti-join with them (a table that grows with the contaminated texts only) leaves the rest."""
+    gone, own = (free_name(docs.columns, c) for c in ("_gone", "_digest"))
+    counted = hits(docs, benchmark, **kw).where(F.size("items") >= min_items)
+    bad = written(counted.select(F.col("digest").alias(gone)).distinct(), "contaminated")
+    return docs.withColumn(own, digest()).join(bad, F.col(own) == F.col(gone), "left_anti").drop(own)
 
 
 ORACLE = r"""

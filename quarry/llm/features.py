@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.textcore import NOT_SPACE, PLAIN, Words, byte_table, gram_hash, per_doc, repeated, span_hash, spans, text_chunks
+from quarry.llm.store import written
+from quarry.llm.textcore import NOT_SPACE, PLAIN, Words, byte_table, gram_hash, per_doc, repeated, span_hash, spans, text_chunks, tidied
 
 #: Byte classes of the histogram.
 _KINDS = ("other", "lower", "upper", "digit", "blank", "newline", "lead", "tail", "symbol", "shout", "ask", "stop")
@@ -78,15 +79,19 @@ def free_name(columns, name: str) -> str:
 
 
 def with_stats(docs: DataFrame, counts: str, features: str) -> DataFrame:
-    """``docs`` with two more columns: an array of COUNTS and an array of FEATURES."""
+    """``docs`` with two more columns: an array of COUNTS and an array of FEATURES. Columns may have any names."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    text = plain[docs.columns.index("text")]
 
     def run(batches):
-        for rows, buf, off in text_chunks(batches):
+        for rows, buf, off in text_chunks(batches, text):
             x = Stats(buf, off)
             cols = [pa.array(list(x.counts), pa.list_(pa.int64())), pa.array(list(x.features), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *cols], [*rows.schema.names, counts, features])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *cols], [*rows.schema.names, "counts", "features"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(counts, T.ArrayType(T.LongType())), T.StructField(features, T.ArrayType(T.DoubleType()))]))
+    kinds = [T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields)]
+    made = [T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("features", T.ArrayType(T.DoubleType()))]
+    return docs.toDF(*plain).mapInArrow(tidied(run), T.StructType([*kinds, *made])).toDF(*docs.columns, counts, features)
 
 
 def fold(doc_id: str, parts: int) -> F.Column:
@@ -95,11 +100,14 @@ def fold(doc_id: str, parts: int) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, use, bound: int, fields) -> DataFrame:
-    """doc_id, text and label of at most ``bound`` labelled documents: those whose ids have the least hashes.
+    """doc_id, label and ``value`` of at most ``bound`` labelled documents: those whose ids have the least hashes.
 
-    Null labels are left out; an id with several labels has the greatest. ``fields`` maps the joined rows to what is
-    to be collected, at most ``bound`` rows of it, so that repeated ids can't swell it.
-    """
+    Null labels are left out; an id with several labels has the greatest. ``fields`` maps rows of doc_id, label, text to
+    rows that also have ``value``, what is learned from. Of rows that repeat an id the one whose text has the least hash
+    counts, so there is one row an id, the same one in each run. The sample is written once."""
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & use).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # ``bound`` pairs of numbers: safe to broadcast
-    return fields(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")).limit(bound)
+    rows = fields(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id"))
+    order = F.struct(F.xxhash64("text"), F.sha2(F.col("text"), 256))
+    one = rows.groupBy("doc_id", "label").agg(F.min_by("value", order).alias("value"))
+    return written(one.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "value"), "sample")

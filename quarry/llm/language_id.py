@@ -2,31 +2,31 @@
 
 Each language has a zstandard raw-content dictionary, cut from documents of that language outside the held-out fold.
 A text is compressed in blocks of BLOCK bytes, each with every dictionary, and the language whose dictionary gives the
-least total is chosen; a relative margin under MARGIN to the next is marked as rejected (``sure`` is false), the
-language stays the best guess. Nulls: a null text, or one without a letter, is 'und' with score 0; a null lang isn't
-learned; a null id is in fold 0. Without any learned language every text is 'und'. Ties go to the language that is
-first in code point order. Empty tables give no rows; extra columns are ignored; repeated rows are alike.
+least total is chosen. A relative margin under MARGIN to the next is a rejection: ``sure`` is false, and with ``reject``
+the language is 'und'; without, as in the query, the best guess stays. Nulls: a null text, or one without a letter
+(of Unicode's categories L), is 'und' with score 0; a null lang isn't learned; a null id is in fold 0. Without any learned
+language every text is 'und'. Ties go to the language that is first in code point order. Dictionaries share TOTAL bytes,
+so many languages have smaller ones. Empty tables give no rows; extra columns are ignored; repeated rows are alike.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.features import fold
+from quarry.llm.textcore import tidied
 
 FOLDS, HELD_OUT = 3, 1
 #: The dictionaries are fitted on about SAMPLE documents a language, PIECE bytes of each, DICTIONARY bytes in all.
 SAMPLE, PIECE, DICTIONARY = 300, 1_200, 64_000
-LANGUAGES = 200
+#: Bytes of all dictionaries together, and values of lang above which it isn't one of languages: an error, not a cut.
+TOTAL, LANGUAGES = 16_000_000, 2_000
 BLOCK = 4_096
 #: Matches of four bytes and up count; letters are compared in lower case.
 LEVEL, SHORTEST = 6, 4
 MARGIN = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def dictionaries(docs: DataFrame, use) -> dict[str, bytes]:
@@ -34,18 +34,21 @@ def dictionaries(docs: DataFrame, use) -> dict[str, bytes]:
 
     The sampled pieces start where a hash of the id says, so that openings aren't all that is learned."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & use)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()
     if not counts:
         return {}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values: these are no languages")
+    size = min(DICTIONARY, TOTAL // len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
     u = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     at = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.greatest(F.length("text") - PIECE, F.lit(1)))).cast("int") + 1
     picked = rows.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", at, F.lit(PIECE)).alias("piece"))
     out: dict[str, bytes] = {}
     for r in picked.orderBy("h", "lang", "piece").limit(4 * SAMPLE * len(counts)).collect():
-        if len(out.get(r.lang, b"")) < DICTIONARY:
+        if len(out.get(r.lang, b"")) < size:
             out[r.lang] = out.get(r.lang, b"") + r.piece.lower().encode() + b"\n"
-    return {k: v[:DICTIONARY] for k, v in sorted(out.items())}
+    return {k: v[:size] for k, v in sorted(out.items())}
 
 
 class Classifier:
@@ -62,7 +65,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, sure). The score is the winner's share when sizes are weighed exponentially by margin."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, False
         data = text.lower().encode("utf-8", "replace")
         sizes = [sum(len(p.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) for p in self.packers]
@@ -73,20 +76,22 @@ class Classifier:
         return self.names[order[0]], score, sure
 
 
-def _runner(shared):
+def _runner(shared, reject: bool):
     def run(batches):
         classify = Classifier(shared.value)
         for b in batches:
             got = [classify(t) for t in b.column("text").to_pylist()]
             name, score, sure = zip(*got) if got else ((), (), ())
+            if reject:
+                name = [n if ok else "und" for n, ok in zip(name, sure)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], ["doc_id", "lang_pred", "score", "sure"])
 
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, reject: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, sure."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries(slim, fold("doc_id", FOLDS) != HELD_OUT))
-    got = slim.select("doc_id", "text").mapInArrow(_runner(shared), "doc_id long, lang_pred string, score double, sure boolean")
+    got = slim.select("doc_id", "text").mapInArrow(tidied(_runner(shared, reject)), "doc_id long, lang_pred string, score double, sure boolean")
     return got.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "sure")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.features import free_name
 from quarry.llm.store import written
 
 WEIGHTS = (5, 2, 1)
@@ -89,10 +90,10 @@ def rules(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
     return goals.join(f, F.col("source").eqNullSafe(F.col("found_source")), "left").select(F.col("source").alias("rule_source"), "source_size", "target", "whole", "rest", "under")
 
 
-def _times(h, most: int = MOST):
+def _times(h, most: int = MOST, whole: str = "whole", rest: str = "rest", under: str = "under"):
     # a rest that all documents together don't exceed has no edge: everything is taken once more
-    more = F.when((F.col("rest") > 0) & (F.col("under").isNull() | (h < F.col("under"))), 1).otherwise(0)
-    return F.least(F.lit(most), F.col("whole") + more)
+    more = F.when((F.col(rest) > 0) & (F.col(under).isNull() | (h < F.col(under))), 1).otherwise(0)
+    return F.least(F.lit(most), F.col(whole) + more)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -103,12 +104,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as many times as the mix takes it, with the columns of ``docs``.
+    """The mixed corpus: each document as many times as the mix takes it, with the columns of ``docs``, whatever their names.
 
     The rules, one row a source, are joined to the documents; no text is shuffled by document."""
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = docs.alias("d").join(rules(_sized(docs)).alias("r"), F.col("d.source").eqNullSafe(F.col("r.rule_source")))
-    return joined.select(*own, F.explode(F.array_repeat(F.lit(0), _times(id_hash(F.col("d.doc_id"))).cast("int"))).alias("_copy_of_mix")).drop("_copy_of_mix")
+    mine = {c: free_name(docs.columns, f"_{c}") for c in ("rule_source", "whole", "rest", "under", "copy")}
+    r = rules(_sized(docs)).select(*[F.col(c).alias(n) for c, n in mine.items() if c != "copy"])
+    joined = docs.join(r, F.col("source").eqNullSafe(F.col(mine["rule_source"])))
+    times = _times(id_hash(F.col("doc_id")), MOST, mine["whole"], mine["rest"], mine["under"]).cast("int")
+    return joined.withColumn(mine["copy"], F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.store import digest, release, small_batches, written
-from quarry.llm.textcore import Words, gram_hash, mix, text_chunks
+from quarry.llm.features import free_name
+from quarry.llm.store import digest, dropped, release, small_batches, written
+from quarry.llm.textcore import Words, gram_hash, mix, text_chunks, tidied
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -104,7 +105,7 @@ def bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(batches):
-    for rows, buf, off in text_chunks(batches):
+    for rows, buf, off in text_chunks(batches, rows=1_000):  # a row's signatures take some 10 KB on the way
         n = rows.num_rows
         words = Words(buf, off)
         g, doc = shingles(words)
@@ -253,8 +254,11 @@ def components(links: DataFrame) -> DataFrame:
         up = now.select(F.col("node").alias("low"), F.col("label").alias("jump"))
         nxt = written(low.join(up, "low").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved")), "labels")
         done = nxt.where("moved").isEmpty()
-        now = nxt.select("node", "label")
+        dropped(now)
+        now = nxt.drop("moved")
+        now._written_to = nxt._written_to
         if done:
+            dropped(both)
             return now
 
 
@@ -265,7 +269,9 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
         named = named.join(labels.select(F.col("node").alias(end), F.col("label").alias("_l")), end, "left").withColumn(end, F.coalesce("_l", end)).drop("_l")
     above = components(named.where("a <> b"))
     old = labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("_l")), "label", "left").select("node", F.coalesce("_l", "label").alias("label"))
-    return written(old.unionByName(above.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    out = written(old.unionByName(above.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    dropped(labels, above)
+    return out
 
 
 class _Classes:
@@ -274,16 +280,19 @@ class _Classes:
     def __init__(self, docs: DataFrame):
         small_batches(docs.sparkSession)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), "text")
-        signed = rows.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, sig binary, own binary")
-        self.signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+        signed = rows.mapInArrow(tidied(_sign), "doc_id long, digest binary, bands array<long>, sig binary, own binary")
+        signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+        #: row, doc_id, digest of each row
+        self.rows = written(signed.select("row", "doc_id", "digest"), "rows")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")
-        same = self.signed.where("digest is not null").groupBy("digest").agg(first)
+        same = self.rows.where("digest is not null").groupBy("digest").agg(first)
         #: digest, rep (the row that stands for the text) and its doc_id
         self.reps = written(same.select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id")), "reps")
         self.docs = rows
         # the signatures of representatives
         ids = self.reps.select(F.col("rep").alias("row"))
-        own = written(self.signed.where(F.size("bands") > 0).hint("merge").join(ids, "row", "left_semi").withColumnRenamed("row", "rep").drop("digest", "doc_id"), "own")
+        own = written(signed.where(F.size("bands") > 0).hint("merge").join(ids, "row", "left_semi").withColumnRenamed("row", "rep").drop("digest", "doc_id"), "own")
+        dropped(signed)
         flat = own.select("rep", F.explode("bands").alias("bucket"))
         shared = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
         members = written(flat.hint("merge").join(shared, "bucket", "left_semi"), "members")
@@ -292,9 +301,10 @@ class _Classes:
         self.sigs = written(sigs.select("rep", "bands", "sig", "own"), "sigs")
         nxt = F.try_element_at("bands", ((F.array_position("bands", F.col("bucket")) % BANDS) + 1).cast("int"))
         self.slim = written(members.join(self.sigs.select("rep", "bands"), "rep").select("bucket", "rep", nxt.alias("next")), "slim")
+        dropped(own, members)
         # only texts that share a bucket are ever compared: their shingles are made once
         needed = self.reps.join(self.sigs.select("rep"), "rep", "left_semi").select("rep", F.col("digest").alias("_d"), F.coalesce("doc_id", F.lit(0)).alias("_id"))
-        texts = self.docs.withColumn("digest", F.coalesce("digest", F.expr("X''"))).hint("merge").join(needed, (F.col("digest") == F.col("_d")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_id"))).select("rep", "text").mapInArrow(_shingle_rows, "rep long, g array<long>")
+        texts = self.docs.withColumn("digest", F.coalesce("digest", F.expr("X''"))).hint("merge").join(needed, (F.col("digest") == F.col("_d")) & (F.coalesce("doc_id", F.lit(0)) == F.col("_id"))).select("rep", "text").mapInArrow(tidied(_shingle_rows), "rep long, g array<long>")
         self.texts = written(texts, "shingles")
         release(docs.sparkSession)
 
@@ -306,64 +316,72 @@ class _Classes:
         # sizes too different for a link keep a hopeless pair from being compared
         la, lb = F.size("ga"), F.size("gb")
         maybe = joined.where(F.least(la, lb) >= THRESHOLD * F.greatest(la, lb))
-        out = written(maybe.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= THRESHOLD), "links")
+        out = written(maybe.mapInArrow(tidied(_verify), "a long, b long, similarity double").where(F.col("similarity") >= THRESHOLD), "links")
+        dropped(ids)
         release(self.docs.sparkSession)
         return out
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(links, labels of linked representatives)."""
         chain = self.slim.join(self.sigs.drop("bands"), "rep").repartition("bucket").sortWithinPartitions("bucket", "next", "rep")
-        tested = written(chain.mapInArrow(_neighbours, "a long, b long").where("a <> b").distinct(), "pairs")
+        tested = written(chain.mapInArrow(tidied(_neighbours), "a long, b long").where("a <> b").distinct(), "pairs")
         links = self.verified(tested)
-        labels = components(links)
+        labels, pairs = components(links), [tested]
         for most in ROUNDS:
             named = self.slim.select("bucket", "rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
             sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
             open_ = named.join(main, "bucket").withColumn("outside", F.col("label") != F.col("main")).drop("main")
             rows = open_.join(self.sigs, "rep").repartition("bucket").sortWithinPartitions("bucket", F.desc("outside"))
-            found = rows.mapInArrow(_outsiders(most), "a long, b long").distinct()
+            found = rows.mapInArrow(tidied(_outsiders(most)), "a long, b long").distinct()
             new = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
             if new.isEmpty():
                 continue
             tested = tested.unionByName(new)
+            pairs.append(new)
             more = self.verified(new)
             if more.isEmpty():
                 continue
             links = links.unionByName(more)
             labels = joined_components(labels, more)
+        dropped(self.slim, self.sigs, self.texts, *pairs)
         return links, labels
 
+    def decided(self) -> DataFrame:
+        """doc_id, digest, class_id, rep, kept of each row."""
+        return _decided(self.rows, self.reps, self.run()[1])
 
-def _decided(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, class_id, rep, kept of each row."""
-    c = _Classes(docs)
-    links, labels = c.run()
-    reps = c.reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+def _decided(rows: DataFrame, all_reps: DataFrame, labels: DataFrame) -> DataFrame:
+    reps = all_reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep")).alias("f")
     heads = reps.groupBy("label").agg(first).select("label", F.col("f.doc_id").alias("class_id"), F.col("f.rep").alias("head"))
     named = reps.join(heads, "label").select(F.col("digest").alias("_d"), F.col("doc_id").alias("rep"), "class_id", "head")
-    out = c.signed.select("row", "doc_id", "digest").join(named, F.col("digest") == F.col("_d"), "left")
+    out = rows.join(named, F.col("digest") == F.col("_d"), "left")
     alone = F.col("digest").isNull()
     return out.select("doc_id", "digest", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("rep"), (alone | (F.col("row") == F.col("head"))).alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), rep (the least doc_id with the same text), kept (one row a class)."""
-    return _decided(docs).drop("digest")
+    return _Classes(docs).decided().drop("digest")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of ``docs``. An id whose rows all go is dropped by itself; rows without
     an id, or of an id of which a part stays, are decided by id and text."""
-    each = written(_decided(docs).groupBy("doc_id", "digest").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "decided")
-    ids = written(each.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("stays")).where("not stays").select("_id"), "dropped")
-    left = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    rest = each.where("digest is not null and (not kept or n > 1)").join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
-    rest = written(rest.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), "kept"), "parts")
+    c = _Classes(docs)
+    each = written(c.decided().groupBy("doc_id", "digest").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "decided")
+    dropped(c.rows, c.reps)
+    i, d, own, key = (free_name(docs.columns, c) for c in ("_id", "_d", "_digest", "_key"))
+    ids = written(each.where("doc_id is not null").groupBy(F.col("doc_id").alias(i)).agg(F.bool_or("kept").alias("stays")).where("not stays").select(i), "dropped")
+    left = docs.join(ids, F.col("doc_id").cast("long") == F.col(i), "left_anti")
+    rest = each.where("digest is not null and (not kept or n > 1)").join(ids, F.col("doc_id") == F.col(i), "left_anti")
+    rest = written(rest.select(F.col("doc_id").alias(i), F.col("digest").alias(d), F.col("kept").alias(key)), "parts")
+    dropped(each)
     if rest.isEmpty():
         return left
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))
-    keyed = left.withColumn("_digest", digest())
-    once = keyed.join(rest.where("kept"), same, "left_semi").withColumn("_key", F.col("doc_id").cast("long")).dropDuplicates(["_key", "_digest"])
-    return keyed.join(rest, same, "left_anti").drop("_digest").unionByName(once.drop("_key", "_digest"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(d))
+    keyed = left.withColumn(own, digest())
+    once = keyed.join(rest.where(F.col(key)), same, "left_semi").withColumn(key, F.col("doc_id").cast("long")).dropDuplicates([key, own])
+    return keyed.join(rest, same, "left_anti").drop(own).unionByName(once.drop(key, own))

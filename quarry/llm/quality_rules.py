@@ -21,11 +21,11 @@ MIN_WORDS = 50
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Test]]:
-    rows = labelled(docs, labels, "quality", F.lit(True), sample, lambda d: with_stats(d, "counts", "features").select("doc_id", "features", "label")).collect()
+    rows = labelled(docs, labels, "quality", F.lit(True), sample, lambda d: with_stats(d, "counts", "value")).collect()
     rows.sort(key=lambda r: r.doc_id)
     if len({r.label for r in rows}) < 2:
         return []
-    return decision_list(np.array([r.features for r in rows]), np.array([1.0 - r.label for r in rows]))
+    return decision_list(np.array([r.value for r in rows]), np.array([1.0 - r.label for r in rows]))
 
 
 def verdict(rules: list[list[Test]], features: str) -> Column:

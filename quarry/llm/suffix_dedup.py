@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.store import release, small_batches, written
-from quarry.llm.textcore import gram_bytes, mix, prefix_hash, span_hash, text_chunks
+from quarry.llm.textcore import gram_bytes, mix, prefix_hash, span_hash, text_chunks, tidied
 
 LENGTH = 100
 GRAM = 24
@@ -312,13 +312,13 @@ def _named(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, sub, spans: the covered spans of each document that has any."""
     rows = _named(docs).drop("doc_id")
-    dealt = rows.mapInArrow(_anchor_rows, _ROW).repartition("h").sortWithinPartitions("h", "c", "doc", "sub", "pos")
-    marks = written(dealt.mapInArrow(_settle, MARK), "marks")
+    dealt = rows.mapInArrow(tidied(_anchor_rows), _ROW).repartition("h").sortWithinPartitions("h", "c", "doc", "sub", "pos")
+    marks = written(dealt.mapInArrow(tidied(_settle), MARK), "marks")
     release(docs.sparkSession)
     places = marks.where(F.col("kind") == ANCHOR).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("pos").alias("places"))
     edges = rows.hint("merge").join(places, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub"))).select("doc", "sub", "text", "places")
-    contexts = edges.mapInArrow(_contexts, CONTEXT).repartition("key").sortWithinPartitions("key", "doc", "sub", "pos")
-    spans = written(contexts.mapInArrow(_compare, SPAN), "spans")
+    contexts = edges.mapInArrow(tidied(_contexts), CONTEXT).repartition("key").sortWithinPartitions("key", "doc", "sub", "pos")
+    spans = written(contexts.mapInArrow(tidied(_compare), SPAN), "spans")
     release(docs.sparkSession)
     whole = marks.where(F.col("kind") == COVER).select("doc", "sub", (F.col("pos") - _REACH).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
     return spans.unionByName(whole).groupBy("doc", "sub").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -330,4 +330,4 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     spans = repeats(docs).select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), "spans")
     both = _named(docs).hint("merge").join(spans, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub")), "left")
     nth = F.row_number().over(Window.partitionBy("doc", "sub").orderBy("doc"))  # of rows that repeat id and text; the join deals and sorts for it
-    return both.select("doc_id", "text", "spans", nth.alias("nth")).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.select("doc_id", "text", "spans", nth.alias("nth")).mapInArrow(tidied(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

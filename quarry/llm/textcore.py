@@ -10,6 +10,8 @@ for some pairs of long strings whatever its base (Thue and Morse's).
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +42,20 @@ def text_chunks(batches, column: str = "text", limit: int = CHUNK, rows: int = R
             i = j
 
 
+def tidied(run):
+    """``run`` over batches, after which the worker gives free memory back: it stays for other stages."""
+
+    def tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidy
+
+
 def byte_table(keep) -> np.ndarray:
     return np.array([bool(keep(b)) for b in range(256)])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.store import new_folder, release, small_batches
-from quarry.llm.textcore import member, mix, text_chunks
+from quarry.llm.textcore import member, mix, text_chunks, tidied
 
 END_ID = 2
 SHARD_BYTES = 24_000_000
@@ -284,7 +284,6 @@ def _writer(path: str, end_id: int):
                 out.append(frame(pack(doc_id, np.append(ids[at : at + n], np.uint32(end_id))))[:-1])  # the writer ends each record
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-        pa.default_memory_pool().release_unused()
 
     return write
 
@@ -298,7 +297,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
     ranged = slim.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_h")
-    framed = ranged.mapInArrow(_writer(tokenizer, end_id), "record binary")
+    framed = ranged.mapInArrow(tidied(_writer(tokenizer, end_id)), "record binary")
     framed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
@@ -328,7 +327,7 @@ def _index(batches):
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The offset index, made by reading the shards back; every checksum is checked on the way."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(_index, INDEX)
+    return files.select("path", "content").mapInArrow(tidied(_index), INDEX)
 
 
 def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:

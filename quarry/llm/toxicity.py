@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.features import fold, histogram, labelled
 from quarry.llm.learning import BoostedTrees
-from quarry.llm.textcore import LOWER, WORD, Words, byte_table, member, per_doc, text_chunks
+from quarry.llm.textcore import LOWER, WORD, Words, byte_table, member, per_doc, text_chunks, tidied
 
 SAMPLE = 12_000
 FOLDS, HELD_OUT = 5, 0
@@ -110,7 +110,7 @@ def lexicons(sample: DataFrame) -> tuple[list[str], list[str]]:
     toxic, other = n.get(1, 0), n.get(0, 0)
     if not toxic or not other:
         return [], []
-    counts = sample.select("text", "label").mapInArrow(_count_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = sample.select("text", "label").mapInArrow(tidied(_count_words), "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
     found = counts.where((F.col("toxic") >= max(3, WEAK * toxic)) & (lift >= LIFT) & (F.length("word") > 2)).orderBy(F.desc("toxic"), "word").limit(2 * MOST).collect()
     strong = [r.word for r in found if r.toxic >= max(3, STRONG * toxic)][:MOST]
@@ -119,10 +119,10 @@ def lexicons(sample: DataFrame) -> tuple[list[str], list[str]]:
 
 def fit(docs: DataFrame, labels: DataFrame, use=None, sample: int = SAMPLE) -> tuple[tuple[list[str], list[str]], BoostedTrees]:
     use = F.lit(True) if use is None else use
-    rows = labelled(docs, labels, "toxic", use, sample, lambda d: d)
+    rows = labelled(docs, labels, "toxic", use, sample, lambda d: d.withColumn("value", F.col("text"))).withColumnRenamed("value", "text")
     words = lexicons(rows)
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    got = rows.mapInArrow(_features(shared, "doc_id", "label"), "doc_id long, label int, features array<double>").collect()
+    got = rows.mapInArrow(tidied(_features(shared, "doc_id", "label")), "doc_id long, label int, features array<double>").collect()
     got.sort(key=lambda r: r.doc_id)
     model = BoostedTrees()
     if got:
@@ -146,5 +146,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score, predicted."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(fit(slim, labels, fold("doc_id", FOLDS) != HELD_OUT, sample))
-    scored = slim.mapInArrow(_scorer(shared), "doc_id long, score double")
+    scored = slim.mapInArrow(tidied(_scorer(shared)), "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

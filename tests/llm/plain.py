@@ -22,12 +22,15 @@ def decontaminated(text: str | None, items: list[tuple[str, str]], window: int =
     return len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
+def shingles(text: str) -> Counter:
+    """The multiset of five-word shingles."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 5 + 1))) if w else Counter()
+
+
 def near_classes(texts: list[str]) -> list[int]:
     """The class (least index) of each text by comparing all pairs."""
-    sets = []
-    for t in texts:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
-        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 5 + 1))) if w else Counter())
+    sets = [shingles(t) for t in texts]
     cls = list(range(len(texts)))
 
     def root(x):

@@ -51,7 +51,13 @@ def test_mix(docs, empty):
     assert len(rows) == len(TEXTS) and all(r.taken in (0, r.size, 2 * r.size) for r in rows)
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
     total = sum(r.size for r in rows)
-    assert abs(sum({(r.source_size, r.target) for r in rows} and {r.target for r in rows}) - 1.5 * total) < 1e-6 or len({r.target for r in rows}) < 5
+    source = {i if i != 3 else None: f"src{i % 4}" if i % 5 else None for i in range(len(TEXTS))}
+    goals = {source[r.doc_id]: (r.source_size, r.target) for r in rows}
+    assert len(goals) == 5 and sum(n for n, _ in goals.values()) == total
+    assert abs(sum(t for _, t in goals.values()) - 1.5 * total) < 1e-6 and all(t <= 2 * n + 1e-9 for n, t in goals.values())
+    largest = max(r.size for r in rows)
+    for name, (_, target) in goals.items():
+        assert abs(sum(r.taken for r in rows if source[r.doc_id] == name) - target) <= largest
     assert mixing.mix(empty).count() == 0
     assert mixing.stage(docs).columns == docs.columns
 

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from quarry.llm import decontaminate, license_scan, near_dedup, suffix_dedup
+from quarry.llm import decontaminate, license_scan, mixing, near_dedup, quality_rules, suffix_dedup
 
 from . import plain
 
@@ -51,7 +51,7 @@ def test_blocks_give_each_row_back_once(spark):
     rows = [(5, pad[0] + " " + passage), (5, pad[1] + " " + other), (5, pad[2] + " " + prose(30)), (5, pad[2] + " " + prose(30)), (None, pad[0] + " " + passage), (None, pad[3] + " " + prose(30)), (None, pad[3] + " " + prose(30)), (5, pad[0] + " " + passage), (None, None), (None, None)]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
     want = sorted(((i, *plain.decontaminated(t, items)) for i, t in rows), key=str)
-    clean = [k for k, (_, t) in enumerate(rows) if plain.decontaminated(t, items)[2] < decontaminate.MIN_ITEMS]
+    clean = [k for k, (_, t) in enumerate(rows) if plain.decontaminated(t, items)[2] < decontaminate.STAGE_ITEMS]
     for limit in (1 << 20, 300):
         assert (sum(1 for _ in decontaminate.blocks(bench, limit)) > 1) == (limit == 300)
         got = decontaminate.decontaminate(df, bench, limit=limit).collect()
@@ -86,3 +86,20 @@ def test_license_notices_that_stand_close(spark):
         2: [("MIT-notice", 1, 6), ("BSD-notice", 7, 12), ("MIT-notice", 12, 17), ("MIT-notice", 18, 23)],
         3: [("MIT-notice", 0, 4), ("MIT-notice", 4, 9)], 4: [("MIT-notice", 2, 7)], 5: [("ISC", k * n, (k + 1) * n) for k in range(3)],
     }
+
+
+CLASHING = "_id _d _digest _key _gone _rule_source _whole _rest _under _copy rest whole under counts features _counts _features value score label digest rep row kept k".split()
+
+
+def test_stages_keep_columns_that_clash(spark):
+    a, b, c = prose(120), prose(120), prose(120)
+    rows = [(1, a), (1, a), (2, near(a)), (None, b), (None, None), (4, c + " " + b), (4, ""), (5, c), (6, prose(70))]
+    df = spark.createDataFrame([(i, t, "s1" if (i or 0) % 2 else None, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string, n long")
+    df = df.selectExpr("*", *[f"n * {k} AS `{name}`" for k, name in enumerate(CLASHING)], "'x' AS `a.b`")
+    bench = spark.createDataFrame([("i", " ".join(c.split()[10:40]))], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")
+    for out in (near_dedup.stage(df), decontaminate.stage(df, bench), mixing.stage(df), quality_rules.stage(df, labels)):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert all(r[name] == r.n * k for k, name in enumerate(CLASHING)) and r["a.b"] == "x"
+    assert sorted(r.n for r in decontaminate.stage(df, bench).collect()) == [0, 1, 2, 3, 4, 6, 8]
