@@ -1,7 +1,15 @@
 """Corpus pipeline: quality rules, near-dedup, benchmark decontamination, mixing to target weights, token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read back as the next
-stage's documents. All but the last return the columns of documents. The mix repeats a document by repeating its row.
+stage's documents. All but the last return the columns of documents, whatever other columns these have.
+
+quality_rules    A null or empty text has no words and goes. Rows are decided one by one, so repeated rows share a verdict.
+near_dedup       One row of each class of equal and near texts stays, that of the least id; null texts, which have gone
+                 before in a run, are classes of their own. Rows without an id, or with a shared one, are told apart.
+decontamination  A document goes if a window of one benchmark item or more occurs in it; the others stay whole.
+mixing           Repeats a document by repeating its row; null sources are a source, ids with equal hashes go together.
+token_output     Null texts are empty ones; null ids come first; rows that share an id are ordered by their texts' hashes.
+Empty tables give empty results in each stage.
 """
 
 from __future__ import annotations
