@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A copy as Parquet in the same folder: later reads take only the columns they need."""
+    spark = df.sparkSession
+    cut(spark.range(0))  # sets the folder
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -106,6 +106,54 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def module_matches(module: Column, pattern: str) -> Column:
+    """A module pattern: with * any characters, whole or after a dot; without, one part or run of parts and what follows."""
+    body = "".join(".*" if c == "*" else c if c.isalnum() or c == "_" else "\\" + c for c in pattern)
+    tail = "" if "*" in pattern else r"(\..+)?"
+    return module.rlike(f"(?i)^(.+\\.)?{body}{tail}$")
+
+
+def common_directory(a: Column, b: Column) -> Column:
+    """The deepest folder that holds both paths; '/' or '' where they share none."""
+    x, y = F.split(a, "/"), F.split(b, "/")
+    n = F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")),
+        lambda s, same: F.struct((s["n"] + (s["go"] & same).cast("int")).alias("n"), (s["go"] & same).alias("go")),
+    )["n"]
+    return F.array_join(F.slice(x, F.lit(1), n), "/")
+
+
+def is_upper_constant(name: Column) -> Column:
+    """Letters, none of them lower-case."""
+    return name.rlike(r"[A-Za-z]") & (F.upper(name) == name)
+
+
+def is_class_like(name: Column) -> Column:
+    """The last dotted part, without leading underscores, doesn't begin with a lower-case letter."""
+    return F.regexp_replace(leaf(name), "^_+", "").rlike(r"^[^\p{Ll}]")
+
+
+def is_public(name: Column) -> Column:
+    return (name != "") & ~name.startswith("_")
+
+
+def thousands(x: Column) -> Column:
+    return F.format_number(x.cast("long"), 0)
+
+
+def percentage(x: Column, digits: int = 1) -> Column:
+    return F.format_string(f"%.{digits}f%%", (x * 100).cast("double"))
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds below a second, seconds with two digits from then on."""
+    return F.when(ms < 1000, F.format_string("%dms", ms.cast("long"))).otherwise(F.format_string("%.2fs", (ms / 1000).cast("double")))
+
+
+def plural(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+
+
 def strip_comments(text: Column) -> Column:
     """Without triple-quoted strings and # comments, white space collapsed."""
     no_doc = F.regexp_replace(text, r'(?s)""".*?"""|' + r"'''.*?'''", "")
@@ -120,30 +168,54 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 # -- placeholder-data heuristics ----------------------------------------------------------------------------------
 
 #: Placeholder words (fixed values).
-MOCK_WORDS = "mock fake dummy test sample example placeholder stub fixture temp tmp foo bar baz lorem ipsum todo".split()
+MOCK_WORDS = ["mock", "fake", "dummy", "test", "sample", "example", "placeholder", "stub", "fixture", "temp", "tmp", "foo", "bar", "baz", "qux", "lorem", "ipsum"]
 #: Reserved and placeholder domains (fixed values).
-MOCK_DOMAINS = "example.com example.org example.net test.com localhost invalid foo.com bar.com dummy.com fake.com".split()
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(\+?1[-. ]?)?(\(?(000|111|123|555)\)?[-. ]?)[0-9]{3}[-. ]?[0-9]{4}"
-UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-CREDENTIAL = r"(?i)(password|passwd|secret|api_?key|token)[0-9]*\s*[:=]"
-TODO_COMMENT = r"(?i)(todo|fixme|xxx|hack)"
+MOCK_DOMAINS = ["example.com", "example.org", "example.net", "test.com", "test.org", "test.net", "localhost", "invalid", "foo.com", "bar.com"]
+#: Patterns (fixed values).
+MOCK_EMAIL = r"(?i)[a-z0-9._%+-]+@(example\.(com|org|net)|test\.(com|org|net)|localhost|invalid|foo\.com|bar\.com)"
+MOCK_PHONE = r"(?:^|[^0-9])(\(?(?:0{3}|1{3}|123)\)?[-.\s]?(?:0{3,4}|1{3,4}|456)[-.\s]?(?:0{4}|1{4}|7890))(?:[^0-9]|$)"
+MOCK_UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+MOCK_COMMENT = r"(?i)\b(TODO|FIXME|XXX|HACK|BUG|NOTE)[\s:]+.*(?:replace|change|update|mock|fake|dummy|placeholder|temporary|temp)"
+MOCK_CREDENTIAL = r"(?i)^(password|secret|api[_-]?key|token|credential|auth)[0-9]*$|^(password|secret)123$|^test(password|secret|key)$"
+
+
+def has_word(low: Column, words: list[str]) -> Column:
+    """A whole word of the list in a text of lower case: one alternation, tried only where a word occurs at all."""
+    return has_any(low, words) & low.rlike(r"(^|[^a-z0-9])(" + "|".join(words) + r")($|[^a-z0-9])")
+
+
+def has_any(low: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
+
+
+def mock_email(text: Column) -> Column:
+    return F.contains(text, F.lit("@")) & text.rlike(MOCK_EMAIL)
+
+
+def mock_phone(text: Column) -> Column:
+    ends = F.contains(text, F.lit("0000")) | F.contains(text, F.lit("1111")) | F.contains(text, F.lit("7890"))
+    return ends & text.rlike(MOCK_PHONE)
+
+
+def mock_uuid(text: Column) -> Column:
+    """An identifier with little variety: the text without hyphens has one or two different characters, or counts up."""
+    bare = F.replace(text, F.lit("-"), F.lit(""))
+    return F.contains(text, F.lit("-")) & text.rlike(MOCK_UUID) & (low_entropy(bare) | (F.lower(bare) == "12345678123456781234567812345678"))
 
 
-def has_word(text: Column, words: list[str]) -> Column:
-    """A whole word of the list, in any case."""
-    return F.lower(text).rlike(r"(^|[^a-z0-9])(" + "|".join(words) + r")($|[^a-z0-9])")
+def mock_comment(text: Column) -> Column:
+    return text.rlike(MOCK_COMMENT)
 
 
-def has_any(text: Column, parts: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(p)) for p in parts])
+def mock_credential(text: Column) -> Column:
+    return (F.length(text) <= 64) & text.rlike(MOCK_CREDENTIAL)
 
 
 def low_entropy(text: Column, most: int = 2) -> Column:
-    """At most ``most`` distinct letters or digits."""
-    return F.size(F.array_distinct(F.split(F.regexp_replace(text, "[^0-9A-Za-z]", ""), ""))) <= most
+    """At most ``most`` different characters."""
+    return F.size(F.array_distinct(F.split(text, ""))) <= most
 
 
 def repetitive(text: Column, shortest: int = 4, longest: int = 20) -> Column:
-    n = F.length(text)
-    return n.between(shortest, longest) & (text.rlike(r"^(.)\1+$") | text.rlike(r"^(..)\1+$"))
+    """One character, or one pair of characters, over and over."""
+    return F.length(text).between(shortest, longest) & (text.rlike(r"(?s)^(.)\1+$") | text.rlike(r"(?s)^(..)\1+$"))

@@ -1,11 +1,11 @@
-"""Layers, rules, packages, responsibilities, cohesion of classes, def-use and clones as relational operators."""
+"""Rules between layers, cohesion of packages, limits, and the linear form of definitions and uses."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.scalar import jaccard, ratio
+from quarry.functions.scalar import ratio
 
 
 def layer_edges(edges: DataFrame, layers: DataFrame, rules: DataFrame) -> DataFrame:
@@ -39,58 +39,8 @@ def fan_limit(value: Column) -> Column:
     return F.greatest(F.lit(2), F.ceil(F.avg(value) + F.stddev_pop(value))).cast("long")
 
 
-def lcom4(uses: DataFrame) -> DataFrame:
-    """(class, method, variable) -> class, methods, variables, lcom4: connected components of methods by shared variables.
-
-    Methods of all classes are linked to the least method of each of their variables, which keeps the links linear in
-    the uses; the components of all classes are found at once."""
-    from quarry.operators.graph import components
-
-    key = F.concat_ws("|", F.lpad(F.col("class").cast("string"), 12, "0"), F.lpad(F.col("method").cast("string"), 6, "0"))
-    u = uses.select("class", key.alias("node"), "variable").distinct()
-    star = u.groupBy("class", "variable").agg(F.min("node").alias("hub"))
-    links = u.join(star, ["class", "variable"]).where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
-    comp = components(u.select("node"), links)
-    x = u.join(comp, "node")
-    return x.groupBy("class").agg(F.count_distinct("node").alias("methods"), F.count_distinct("variable").alias("variables"), F.count_distinct("component").alias("lcom4"))
-
-
-def cbo(uses: DataFrame, kinds: list[str]) -> DataFrame:
-    """(class, dependency, kind) -> distinct dependencies in all and by kind."""
-    by = [F.count_distinct(F.when(F.col("kind") == k, F.col("dependency"))).alias(f"kind_{k.lower()}") for k in kinds]
-    return uses.groupBy("class").agg(F.count_distinct("dependency").alias("cbo"), *by)
-
-
 def def_use(events: DataFrame, group: list[str], order: list[str], is_def: Column, is_use: Column, what: str) -> DataFrame:
     """Each use with the last definition before it in its group."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     seen = events.withColumn("definition", F.last(F.when(is_def, F.col(what)), ignorenulls=True).over(w))
     return seen.where(is_use & F.col("definition").isNotNull()).select(*group, "definition", F.col(what).alias("use"))
-
-
-def features(df: DataFrame, id_col: str, text: str, k: int = 4) -> DataFrame:
-    """(id, gram) rows: distinct k-grams of the words of a text."""
-    w = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda x: x != "")
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, F.lit(k)), " "))
-    return df.select(F.col(id_col).alias("id"), F.explode(F.when(F.size(w) >= k, F.array_distinct(grams))).alias("gram"))
-
-
-def similar_pairs(grams: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of all pairs whose Jaccard similarity of grams is at least the threshold, exactly.
-
-    Prefix filtering: with grams in order of rarity, a pair at the threshold shares one of its first
-    size - ceil(threshold * size) + 1 grams, so only those are joined; and similar sizes are part of the join."""
-    freq = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "gram")
-    ranked = grams.join(freq, "gram").select("id", "gram", F.row_number().over(w).alias("rn"), F.count("*").over(Window.partitionBy("id")).alias("size"))
-    prefix = ranked.where(F.col("rn") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select("id", "gram", "size")
-    a, b = prefix.select(F.col("id").alias("a"), "gram", F.col("size").alias("na")), prefix.select(F.col("id").alias("b"), "gram", F.col("size").alias("nb"))
-    maybe = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("a", "b").distinct()
-    sets = grams.groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    x = maybe.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    return x.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def clone_type(textual: Column, syntactic: Column, structural: Column, semantic: Column) -> Column:
-    """Cascade: the first type whose score reaches its threshold."""
-    return F.when(textual >= 0.85, 1).when(syntactic >= 0.75, 2).when(structural >= 0.70, 3).when(semantic >= 0.65, 4).otherwise(0)

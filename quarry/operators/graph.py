@@ -65,22 +65,114 @@ def closure(edges: DataFrame) -> DataFrame:
             return paths
 
 
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) after each node has taken the least label of all that reach it along the edges."""
+    now = labels
+    while True:
+        into = edges.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
+        nxt = cut(now.join(into, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.coalesce("low", "label") < F.col("label")).alias("moved")))
+        now = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return now
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component, size): nodes that reach each other, named by the least."""
-    paths = closure(edges)
-    mutual = paths.join(paths.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    least = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-    named = nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+    """(node, component, size): nodes that reach each other, named by the least.
+
+    Nodes take the least label that reaches them; those of a label that its node is reached from are a component. What is
+    found goes, and edges between labels, which no cycle has, go as well, until no edges are left. Everything is linear in
+    the edges; no closure is made."""
+    left = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    found = None
+    while not left.isEmpty():
+        ends = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        label = _spread(cut(ends.select("node", F.col("node").alias("label"))), left)
+        inner = left.join(label.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        inner = cut(inner.select("src", "dst", F.col("a").alias("label")))
+        # backward from each label's node, within its label
+        seen = cut(label.where("node = label").select("node", "label"))
+        frontier = seen
+        while True:
+            back = inner.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "label").distinct().join(seen.select("node"), "node", "left_anti")
+            frontier = cut(back)
+            if frontier.isEmpty():
+                break
+            seen = cut(seen.unionByName(frontier))
+        part = seen.select("node", F.col("label").alias("component"))
+        found = part if found is None else found.unionByName(part)
+        left = cut(inner.select("src", "dst").join(seen.select(F.col("node").alias("src")), "src", "left_anti").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    base = nodes.select("node").distinct()
+    named = base.withColumn("component", F.col("node")) if found is None else base.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return named.join(named.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
-def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, depth): longest path, in nodes, to each component of the condensation."""
+def _condensed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component, size) and the edges (a, b) between components."""
     scc = cut(strong_components(nodes, edges))
     name = scc.select("node", "component")
     e = edges.join(name.withColumnRenamed("component", "a"), edges.src == F.col("node")).drop("node").join(name.withColumnRenamed("component", "b"), edges.dst == F.col("node"))
-    dag = cut(e.where("a <> b").select("a", "b").distinct())
-    level = cut(name.select("component").distinct().withColumn("depth", F.lit(1).cast("long")))
+    return scc, cut(e.where("a <> b").select("a", "b").distinct())
+
+
+def longest_chains(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
+    """component, length, chain: the n longest paths of the condensation by the component that they end in; of equally long
+    ones to a component the one whose list comes first."""
+    scc, dag = _condensed(nodes, edges)
+    now = cut(scc.select("component").distinct().select("component", F.lit(1).alias("length"), F.array("component").alias("chain")))
+    while True:
+        up = now.join(dag, now.component == dag.a).select(F.col("b").alias("component"), (F.col("length") + 1).alias("length"), F.concat("chain", F.array("b")).alias("chain"))
+        best = up.unionByName(now).groupBy("component").agg(F.min(F.struct((-F.col("length")).alias("l"), "chain")).alias("m"))
+        nxt = cut(best.select("component", (-F.col("m.l")).alias("length"), F.col("m.chain").alias("chain")))
+        if nxt.join(now, ["component", "length", "chain"], "left_anti").isEmpty():
+            return nxt.orderBy(F.desc("length"), "component").limit(n)
+        now = nxt
+
+
+def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node, hops, parent: a tree of shortest paths from the start nodes; of several parents the least."""
+    d = cut(distances(edges, start))
+    near = edges.join(d.select(F.col("node").alias("src"), F.col("hops").alias("h")), "src").join(d.select(F.col("node").alias("dst"), "hops"), "dst").where("hops = h + 1")
+    up = near.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    return d.join(up, "node", "left").select("node", "hops", "parent")
+
+
+def shortest_path(edges: DataFrame, a, b) -> list:
+    """Nodes from a to b, [] if there is no path. One row is read for each step."""
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
+    tree = cut(shortest_paths(edges, spark.createDataFrame([(a,)], f"node {kind}")))
+    out, now = [], b
+    while row := tree.where(F.col("node") == now).first():
+        out.append(now)
+        if row.parent is None:
+            return out[::-1]
+        now = row.parent
+    return []
+
+
+def cycle_details(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, size, modules, chains (edges inside), has_core, severity: components of two and more. One with a module of
+    more than ten dependents, or of ten modules, is critical; of six high, of three medium, else low. Severest first."""
+    scc = cut(strong_components(nodes, edges).where("size > 1"))
+    fan = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
+    e = edges.select("src", "dst").distinct().join(scc.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(scc.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
+    chains = e.groupBy(F.col("a").alias("component")).agg(F.count("*").alias("chains"))
+    x = scc.join(fan, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("modules"), (F.max(F.coalesce("fan_in", F.lit(0))) > 10).alias("has_core"))
+    rank = F.when(F.col("has_core") | (F.col("size") >= 10), 3).when(F.col("size") >= 6, 2).when(F.col("size") >= 3, 1).otherwise(0)
+    name = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), rank + 1)
+    return x.join(chains, "component").withColumn("severity", name).orderBy(F.desc(rank), F.desc("size"), "component")
+
+
+def cycle_statistics(details: DataFrame) -> DataFrame:
+    """One row: cycles by severity, modules in cycles, sizes of the largest and of the one with most chains."""
+    by = [F.count_if(F.col("severity") == s).alias(s) for s in ("low", "medium", "high", "critical")]
+    return details.agg(F.count("*").alias("cycles"), *by, F.coalesce(F.sum("size"), F.lit(0)).alias("modules"), F.max("size").alias("largest"), F.max_by("component", F.struct("chains", (-F.col("component")).alias("c"))).alias("most_chains"))
+
+
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, depth): longest path, in nodes, to each component of the condensation."""
+    scc, dag = _condensed(nodes, edges)
+    level = cut(scc.select("component").distinct().withColumn("depth", F.lit(1).cast("long")))
     while True:
         up = level.join(dag, level.component == dag.a).groupBy(F.col("b").alias("component")).agg((F.max("depth") + 1).alias("up"))
         nxt = cut(level.join(up, "component", "left").select("component", F.greatest("depth", F.coalesce("up", "depth")).alias("depth"), (F.coalesce("up", "depth") > F.col("depth")).alias("moved")))
@@ -116,9 +208,9 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
             return left.select(F.col("src").alias("node")).distinct()
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b, weight) with a < b: weights of both directions summed, loops dropped."""
-    return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("weight"))
+def undirected(edges: DataFrame, lazy: bool = True) -> DataFrame:
+    """(a, b, weight) with a < b: weights of both directions summed, loops dropped; lazy edges too, if not wanted."""
+    return (edges if lazy else edges.where(~F.col("is_lazy"))).where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
 def modularity(weighted: DataFrame, parts: DataFrame, resolution: float = 1.0) -> DataFrame:

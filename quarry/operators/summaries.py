@@ -50,9 +50,9 @@ def merge_spans(df: DataFrame, group: list[str], start: str, end: str, slack: in
     return numbered.groupBy(*group, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("_island")
 
 
-def look_back(df: DataFrame, group: list[str], order: list[str], is_mark: Column, reach: int) -> Column:
-    """Whether one of the ``reach`` rows before has the mark."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(-reach, -1)
+def look_back(group: list[str], line: Column, is_mark: Column, reach: int) -> Column:
+    """Whether a row of the group whose line is up to ``reach`` lines above has the mark: lines, not rows, are counted."""
+    w = Window.partitionBy(*group).orderBy(line).rangeBetween(-reach, -1)
     return F.coalesce(F.max(is_mark.cast("int")).over(w), F.lit(0)) == 1
 
 

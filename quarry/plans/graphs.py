@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar as S
+from quarry.functions.lineage import cut
 from quarry.operators import architecture as R
+from quarry.operators import classes as K
 from quarry.operators import graph as G
 from quarry.operators import grouping as N
 
@@ -24,7 +26,7 @@ def edges(spark, d) -> DataFrame:
     """src, dst, weight, is_lazy."""
     e = _flows(spark, d).groupBy("src", "dst").agg(F.count("*").alias("weight"), F.bool_and(F.col("l_returnflag") == "R").alias("is_lazy"))
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return e.withColumn("rn", F.row_number().over(w)).where("rn <= 3").drop("rn")
+    return cut(e.withColumn("rn", F.row_number().over(w)).where("rn <= 3").drop("rn"))  # the joins are made once a query
 
 
 def nodes(spark, d) -> DataFrame:
@@ -92,11 +94,12 @@ def dependency_depth(spark, d):
 
 
 def connected(spark, d):
-    return G.components(nodes(spark, d), edges(spark, d).where("weight % 2 = 0"))
+    return G.components(nodes(spark, d), edges(spark, d))
 
 
 def core_modules(spark, d):
-    return G.k_core(edges(spark, d).where("dst % 2 = 1"), 2)
+    """Nodes left when those with fewer than four neighbours are peeled off."""
+    return G.k_core(edges(spark, d), 4)
 
 
 def community_graph(spark, d):
@@ -156,14 +159,14 @@ def dot_lines(spark, d):
 
 
 def class_cohesion(spark, d):
-    """Class = order, method = line, variable = supplier."""
-    u = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("class"), F.col("l_linenumber").alias("method"), F.col("l_suppkey").alias("variable"))
-    return R.lcom4(u).withColumn("risk", S.risk(F.col("lcom4"), 2, 5))
+    """Class = order, method = line, variable = supplier; the names are long, and alike but for their ends."""
+    x = _t(spark, d, "lineitem").select(F.concat(F.lit("OrderOfACustomer"), "l_orderkey").alias("class"), F.concat(F.lit("get_line_number_"), "l_linenumber").alias("method"), F.concat(F.lit("supplier_"), "l_suppkey").alias("variable"))
+    return K.lcom4(x, x).drop("groups").withColumn("risk", S.risk(F.col("lcom4"), 2, 5))
 
 
 def class_coupling(spark, d):
     u = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("class"), F.col("l_suppkey").alias("dependency"), F.col("l_returnflag").alias("kind"))
-    return R.cbo(u, ["A", "N", "R"]).withColumn("risk", S.risk(F.col("cbo"), 3, 7))
+    return K.coupling(u, ["A", "N", "R"], ["class"]).drop("dependencies").withColumn("risk", S.risk(F.col("cbo"), 3, 7))
 
 
 def def_use_pairs(spark, d):
@@ -187,8 +190,9 @@ SCC = CL + ", s AS (SELECT node, least(node, coalesce(min(q.dst), node)) AS comp
 J = " JOIN n AS a ON e.src = a.node JOIN n AS b ON e.dst = b.node "
 VERDICT = "CASE " + " ".join(f"WHEN a.package = '{f}' AND b.package IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for f, al, wa, de in RULES for k, v in (("error", de), ("warning", wa), ("ok", al)) if v) + " ELSE 'unknown' END"
 
-_PEEL = "u{j} AS (SELECT u.src, u.dst FROM u{i} AS u WHERE u.src IN (SELECT src FROM u{i} GROUP BY 1 HAVING count(*) >= 2) AND u.dst IN (SELECT src FROM u{i} GROUP BY 1 HAVING count(*) >= 2))"
-CORE = E + ", u0 AS (SELECT src, dst FROM e WHERE dst % 2 = 1 UNION SELECT dst, src FROM e WHERE dst % 2 = 1), " + ", ".join(_PEEL.format(i=i, j=i + 1) for i in range(8)) + " SELECT DISTINCT src AS node FROM u8"
+#: 25 nodes are peeled off in 25 rounds at most.
+_PEEL = "u{j} AS MATERIALIZED (SELECT u.src, u.dst FROM u{i} AS u WHERE u.src IN (SELECT src FROM u{i} GROUP BY 1 HAVING count(*) >= 4) AND u.dst IN (SELECT src FROM u{i} GROUP BY 1 HAVING count(*) >= 4))"
+CORE = E + ", u0 AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), " + ", ".join(_PEEL.format(i=i, j=i + 1) for i in range(25)) + " SELECT DISTINCT src AS node FROM u25"
 
 QUERIES = {
     "import_edges": (import_edges, E + "SELECT src, dst, bool_and(l_returnflag = 'R') AS is_lazy, count(*) AS imports FROM flows GROUP BY 1, 2"),
@@ -202,7 +206,7 @@ QUERIES = {
     "transitive": (transitive, CL + "SELECT src AS node, count(*) AS transitive FROM p WHERE src <> dst GROUP BY 1"),
     "cycles": (cycles, SCC + "SELECT node, component, size, CASE WHEN size >= 10 THEN 'critical' WHEN size >= 6 THEN 'high' WHEN size >= 3 THEN 'medium' ELSE 'low' END AS severity FROM s JOIN (SELECT component, count(*) AS size FROM s GROUP BY 1) USING (component)"),
     "dependency_depth": (dependency_depth, SCC + ", g AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN s AS x ON e.src = x.node JOIN s AS y ON e.dst = y.node WHERE x.component <> y.component), l AS (SELECT DISTINCT component, 1::BIGINT AS depth FROM s UNION SELECT g.b, l.depth + 1 FROM l JOIN g ON l.component = g.a) SELECT component, max(depth) AS depth FROM l GROUP BY 1"),
-    "connected": (connected, RE + ", u AS (SELECT src, dst FROM e WHERE weight % 2 = 0 UNION SELECT dst, src FROM e WHERE weight % 2 = 0), p AS (SELECT node AS src, node AS dst FROM n UNION SELECT p.src, u.dst FROM p JOIN u ON p.dst = u.src) SELECT src AS node, min(dst) AS component FROM p GROUP BY 1"),
+    "connected": (connected, RE + ", u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), p AS (SELECT node AS src, node AS dst FROM n UNION SELECT p.src, u.dst FROM p JOIN u ON p.dst = u.src) SELECT src AS node, min(dst) AS component FROM p GROUP BY 1"),
     "core_modules": (core_modules, CORE),
     "community_graph": (community_graph, E + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight)::BIGINT AS weight FROM e GROUP BY 1, 2"),
     "community_modularity": (community_modularity, E + ", w AS (SELECT src AS a, dst AS b, weight FROM e), m AS (SELECT sum(weight)::DOUBLE AS m FROM w), d AS (SELECT community, sum(weight)::DOUBLE AS degree FROM (SELECT a AS node, weight FROM w UNION ALL SELECT b, weight FROM w) JOIN n USING (node) GROUP BY 1), i AS (SELECT x.community, sum(weight)::DOUBLE AS inside FROM w JOIN n AS x ON w.a = x.node JOIN n AS y ON w.b = y.node WHERE x.community = y.community GROUP BY 1) SELECT sum(coalesce(inside, 0) / m - pow(degree / (2 * m), 2)) AS q FROM d LEFT JOIN i USING (community), m"),
@@ -215,7 +219,7 @@ QUERIES = {
     "layer_compliance": (layer_compliance, E + f", v AS (SELECT {VERDICT} AS verdict FROM e" + J + "WHERE a.package <> b.package) SELECT checked, errors, warnings, greatest(0, 1 - CASE WHEN checked = 0 THEN 0 ELSE (5 * errors + warnings) / checked END)::DOUBLE AS compliance FROM (SELECT count(*) AS checked, count(*) FILTER (WHERE verdict = 'error') AS errors, count(*) FILTER (WHERE verdict = 'warning') AS warnings FROM v)"),
     "layer_matrix": (layer_matrix, E + "SELECT a.package AS from_layer, b.package AS to_layer, count(*) AS n FROM e" + J + "GROUP BY 1, 2"),
     "dot_lines": (dot_lines, E + "SELECT '  \"' || src || '\" -> \"' || dst || '\" [weight=' || weight || '];' AS line FROM e"),
-    "class_cohesion": (class_cohesion, "WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS m, l_suppkey AS v FROM lineitem), l AS (SELECT DISTINCT a.c, a.m AS x, b.m AS y FROM u AS a JOIN u AS b ON a.c = b.c AND a.v = b.v), p AS (SELECT c, x, y FROM l UNION SELECT p.c, p.x, l.y FROM p JOIN l ON p.c = l.c AND p.y = l.x), k AS (SELECT c, x AS m, min(y) AS comp FROM p GROUP BY 1, 2) SELECT class, methods, variables, lcom4, CASE WHEN lcom4 <= 2 THEN 'low' WHEN lcom4 <= 5 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT u.c AS class, count(DISTINCT u.m) AS methods, count(DISTINCT v) AS variables, count(DISTINCT comp) AS lcom4 FROM u JOIN k ON u.c = k.c AND u.m = k.m GROUP BY 1)"),
+    "class_cohesion": (class_cohesion, "WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS m, l_suppkey AS v FROM lineitem), l AS (SELECT DISTINCT a.c, a.m AS x, b.m AS y FROM u AS a JOIN u AS b ON a.c = b.c AND a.v = b.v), p AS (SELECT c, x, y FROM l UNION SELECT p.c, p.x, l.y FROM p JOIN l ON p.c = l.c AND p.y = l.x), k AS (SELECT c, x AS m, min(y) AS comp FROM p GROUP BY 1, 2) SELECT 'OrderOfACustomer' || class AS class, methods, variables, lcom4, CASE WHEN lcom4 <= 2 THEN 'low' WHEN lcom4 <= 5 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT u.c AS class, count(DISTINCT u.m) AS methods, count(DISTINCT v) AS variables, count(DISTINCT comp) AS lcom4 FROM u JOIN k ON u.c = k.c AND u.m = k.m GROUP BY 1)"),
     "class_coupling": (class_coupling, "SELECT *, CASE WHEN cbo <= 3 THEN 'low' WHEN cbo <= 7 THEN 'medium' ELSE 'high' END AS risk FROM (SELECT o_custkey AS class, count(DISTINCT l_suppkey) AS cbo, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'A') AS kind_a, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'N') AS kind_n, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS kind_r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"),
     "def_use_pairs": (def_use_pairs, "SELECT user_id, definition, event_id AS use FROM (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS definition FROM events) WHERE event_type = 'purchase' AND definition IS NOT NULL"),
     "def_use_features": (def_use_features, "WITH p AS (SELECT user_id, definition FROM (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS definition FROM events) WHERE event_type = 'purchase' AND definition IS NOT NULL) SELECT user_id, count(*) AS definitions, max(chain) AS longest, avg(chain) AS mean_chain FROM (SELECT user_id, definition, count(*) AS chain FROM p GROUP BY 1, 2) GROUP BY 1"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import graphs, reports, texts
+from quarry.plans import graphs, pycode, reports, system, texts
 
-_MODULES = (reports, graphs, texts)
+_MODULES = (reports, graphs, texts, pycode, system)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

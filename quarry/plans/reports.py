@@ -88,9 +88,10 @@ def merged_findings(spark, d):
 
 
 def terminator_look_back(spark, d):
+    """An error of the user in the five hours before, an hour being a line."""
     e = _t(spark, d, "events")
-    dead = A.look_back(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 5)
-    return e.select("event_id", dead.alias("after_terminator"))
+    line = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    return e.select("event_id", A.look_back(["user_id"], line, F.col("event_type") == "error", 5).alias("after_terminator"))
 
 
 def prefix_totals(spark, d):
@@ -174,7 +175,7 @@ QUERIES = {
     "unpivoted_report": (unpivoted_report, "SELECT 'total' AS metric, count(*)::DOUBLE AS value FROM lineitem UNION ALL SELECT 'mean', avg(l_quantity) FROM lineitem UNION ALL SELECT 'least', min(l_quantity) FROM lineitem UNION ALL SELECT 'most', max(l_quantity) FROM lineitem UNION ALL SELECT 'high_risk', count(*)::DOUBLE FROM lineitem WHERE l_quantity > 19"),
     "best_match": (best_match, "SELECT l_orderkey, l_returnflag, l_quantity, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1"),
     "merged_findings": (merged_findings, "WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 60000000 AS s, epoch_us(ts) // 60000000 + user_id % 600 AS e FROM events), m AS (SELECT *, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w + 1 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, event_type, min(s)::BIGINT AS start, max(e)::BIGINT AS \"end\", count(*) AS merged FROM i GROUP BY user_id, event_type, k"),
-    "terminator_look_back": (terminator_look_back, "SELECT event_id, coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) = 1 AS after_terminator FROM events"),
+    "terminator_look_back": (terminator_look_back, "SELECT event_id, coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 3600000000 RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) = 1 AS after_terminator FROM events"),
     "prefix_totals": (prefix_totals, "SELECT event_id, count(*) OVER w AS upto, (sum(floor(value)::BIGINT) OVER w)::BIGINT AS lines FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"),
     "module_quality": (module_quality, "WITH a AS (SELECT l_suppkey AS key, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1), b AS (SELECT l_suppkey AS key, count(*) AS n FROM lineitem WHERE l_discount > 0.09 GROUP BY 1), c AS (SELECT s_suppkey AS key FROM supplier), k AS (SELECT key FROM a UNION SELECT key FROM b UNION SELECT key FROM c) SELECT k.key, coalesce(a.n, 0) AS complex, coalesce(b.n, 0) AS dead, (c.key IS NOT NULL)::BIGINT AS known FROM k LEFT JOIN a USING (key) LEFT JOIN b USING (key) LEFT JOIN c USING (key)"),
     "raw_metrics": (raw_metrics, f"SELECT *, total - blank - comment AS code FROM (SELECT page_id, {LINES} FROM pages)"),

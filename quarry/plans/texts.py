@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar as S
-from quarry.operators import architecture as R
+from quarry.functions.lineage import cut
+from quarry.operators import clones as C
 from quarry.operators import graph as G
 from quarry.operators import grouping as N
+from quarry.operators import placeholders as H
 from quarry.operators import scoring as Q
 from quarry.operators import summaries as A
 
@@ -25,35 +27,80 @@ def content_hash(spark, d):
     return x.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
+def _sets(spark, d):
+    """Representatives of documents with equal sets of 4-grams, and which document has which."""
+    return C.classes(C.word_grams(_t(spark, d, "documents"), "doc_id", "text"))
+
+
+def _near(spark, d):
+    reps, members = _sets(spark, d)
+    return cut(C.exact_pairs(reps, THRESHOLD)), members
+
+
 def clone_pairs(spark, d):
-    """Pairs of turns whose 4-gram sets are similar, exactly, by prefix filtering."""
-    x = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return R.similar_pairs(R.features(x, "id", "text"), THRESHOLD)
+    """Pairs of different documents whose 4-gram sets are similar, exactly, by prefix filtering; copies are one."""
+    return _near(spark, d)[0]
 
 
 def clone_groups(spark, d):
-    """Connected groups of those pairs."""
-    p = clone_pairs(spark, d)
+    """Documents in connected groups of those pairs, their copies included."""
+    p, members = _near(spark, d)
     nodes = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
-    return G.components(nodes, p.select(F.col("a").alias("src"), F.col("b").alias("dst"))).groupBy("component").agg(F.count("*").alias("size"))
+    comp = G.components(nodes, p.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    x = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy(F.coalesce("component", "rep").alias("component"))
+    return x.agg(F.count("*").alias("size")).where("size > 1")
 
 
 def clone_stars(spark, d):
     """Members of each connected group that are similar to its medoid."""
-    return N.star_groups(clone_pairs(spark, d))
+    return N.star_groups(_near(spark, d)[0])
 
 
 def clone_statistics(spark, d):
-    p = clone_pairs(spark, d)
-    kind = R.clone_type((F.col("similarity") >= 0.999).cast("double"), F.col("similarity"), F.col("similarity"), F.col("similarity"))
-    return p.groupBy(kind.alias("type")).agg(F.count("*").alias("pairs"), F.avg("similarity").alias("mean_similarity"))
+    """Pairs by type: 1 are copies with their representative, 2 are similar."""
+    p, members = _near(spark, d)
+    same = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit(1).alias("type"))
+    return C.statistics(same.unionByName(p.withColumn("type", F.lit(2))))
+
+
+def clone_cliques(spark, d):
+    """Groups by complete linkage, which depends on an order: tested by brute force."""
+    return N.complete_groups(_near(spark, d)[0], THRESHOLD)
+
+
+def clone_centroids(spark, d):
+    return N.centroid_groups(_near(spark, d)[0], THRESHOLD)
+
+
+def clone_bands(spark, d):
+    """The same pairs by MinHash bands, which miss one in 200,000 at the threshold, and an exact check."""
+    reps, _ = _sets(spark, d)
+    return C.candidates(reps, THRESHOLD, True)
+
+
+def clone_best(spark, d):
+    return C.best(_near(spark, d)[0], 20)
+
+
+def clone_covered(spark, d):
+    """Neighbourhoods of documents that are part of no other's."""
+    p, _ = _near(spark, d)
+    both = p.select(F.col("a").alias("group"), F.col("b").alias("node")).unionAll(p.select("b", "a"))
+    own = both.select("group", F.col("group").alias("node")).distinct()
+    return N.uncovered(both.unionAll(own))
+
+
+def clone_referenced(spark, d):
+    """Documents that take part in a pair."""
+    p, _ = _near(spark, d)
+    return C.referenced(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), p)
 
 
 def text_similarity(spark, d):
-    """Levenshtein similarity of each turn's opening to the one before."""
-    x = _t(spark, d, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("s"))
+    """Levenshtein similarity of each whole turn to the one before."""
+    x = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("s"))
     y = x.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("s").alias("before"))
-    return x.join(y, ["conv_id", "turn"]).select("conv_id", "turn", S.levenshtein_similarity(F.col("s"), F.col("before")).alias("similarity"))
+    return x.join(y, ["conv_id", "turn"]).select("conv_id", "turn", C.textual(F.col("s"), F.col("before")).alias("similarity"))
 
 
 def vector_similarity(spark, d):
@@ -63,14 +110,17 @@ def vector_similarity(spark, d):
     return e.join(first, "label").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("medoid")), 6).alias("similarity"))
 
 
-def _mock(text):
-    return [("keyword", "warning", S.has_word(text, S.MOCK_WORDS)), ("domain", "warning", S.has_any(text, S.MOCK_DOMAINS)), ("email", "info", text.rlike(S.EMAIL)), ("phone", "info", text.rlike(S.PHONE)), ("uuid", "info", text.rlike(S.UUID)), ("comment", "info", text.rlike(S.TODO_COMMENT)), ("credential", "error", text.rlike(S.CREDENTIAL))]
+def mock_findings(spark, d):
+    """One row for each heuristic that a document meets; the text is put in lower case once."""
+    x = _t(spark, d, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    tests = H.of_string(F.col("text"), F.col("low")) + [("placeholder", "info", S.mock_comment(F.col("text")))]
+    return x.select("doc_id", F.inline(H.found(tests)))
 
 
-def mock_findings(spark, d):
-    """One row for each heuristic that a document meets."""
-    kinds = [F.when(test, F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for k, s, test in _mock(F.col("text"))]
-    return _t(spark, d, "documents").select("doc_id", F.inline(F.filter(F.array(*kinds), lambda x: x.isNotNull())))
+def mock_words(spark, d):
+    """Placeholder words, keys and repetitive strings among the words of turns."""
+    w = _t(spark, d, "conversations").select(F.explode(F.split("text", r"[^A-Za-z0-9_@.:/-]+")).alias("word")).where("word <> ''")
+    return w.select("word", H.worst(H.of_string(F.col("word"))).alias("f")).where("f is not null").groupBy("word", "f.kind", "f.severity").agg(F.count("*").alias("n"))
 
 
 def mock_summary(spark, d):
@@ -95,8 +145,7 @@ def line_counts(spark, d):
 
 
 def grams_summary(spark, d):
-    g = R.features(_t(spark, d, "benchmark"), "item_id", "text")
-    return g.groupBy("id").agg(F.count("*").alias("grams"))
+    return C.word_grams(_t(spark, d, "benchmark"), "item_id", "text").select("id", F.size("grams").cast("long").alias("grams"))
 
 
 def health_inputs(spark, d) -> DataFrame:
@@ -128,30 +177,42 @@ def quality_gate(spark, d):
 _DOC = '(?s)""".*?"""|' + "''" * 3 + ".*?" + "''" * 3
 NORM = f"trim(regexp_replace(regexp_replace(regexp_replace(text, '{_DOC}', '', 'g'), '#[^" + r"\n]*', '', 'g'), '\s+', ' ', 'g'))"
 GRAMS = "g AS (SELECT DISTINCT id, array_to_string(w[x : x + 3], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS x FROM (SELECT id, [t for t in regexp_split_to_array(lower(text), '[^a-z0-9]+') if t <> ''] AS w FROM src) WHERE len(w) >= 4))"
-PAIRS = "src AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), " + GRAMS + f", s AS (SELECT id, count(*) AS n FROM g GROUP BY 1), i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g AS x JOIN g AS y ON x.gram = y.gram AND x.id < y.id GROUP BY 1, 2), p AS (SELECT a, b, k / (sa.n + sb.n - k) AS similarity FROM i JOIN s AS sa ON sa.id = a JOIN s AS sb ON sb.id = b WHERE k / (sa.n + sb.n - k) >= {THRESHOLD})"
-_WORDS = "|".join(S.MOCK_WORDS)
-MOCK = f"""m AS (SELECT doc_id, unnest([
-CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])({_WORDS})($|[^a-z0-9])') THEN {{'kind': 'keyword', 'severity': 'warning'}} END,
-CASE WHEN {" OR ".join(f"contains(lower(text), '{x}')" for x in S.MOCK_DOMAINS)} THEN {{'kind': 'domain', 'severity': 'warning'}} END,
-CASE WHEN regexp_matches(text, '{S.EMAIL}') THEN {{'kind': 'email', 'severity': 'info'}} END,
-CASE WHEN regexp_matches(text, '{S.PHONE}') THEN {{'kind': 'phone', 'severity': 'info'}} END,
-CASE WHEN regexp_matches(text, '{S.UUID}') THEN {{'kind': 'uuid', 'severity': 'info'}} END,
-CASE WHEN regexp_matches(text, '{S.TODO_COMMENT}') THEN {{'kind': 'comment', 'severity': 'info'}} END,
-CASE WHEN regexp_matches(text, '{S.CREDENTIAL}') THEN {{'kind': 'credential', 'severity': 'error'}} END]) AS f FROM documents), x AS (SELECT doc_id, f.kind AS kind, f.severity AS severity FROM m WHERE f IS NOT NULL)"""
+SETS = "src AS (SELECT doc_id AS id, text FROM documents), " + GRAMS + ", ss AS (SELECT id, list_sort(list(gram)) AS gs FROM g GROUP BY 1), mm AS (SELECT id, min(id) OVER (PARTITION BY gs) AS rep FROM ss)"
+PAIRS = SETS + f", r AS MATERIALIZED (SELECT g.id, hash(gram) AS gram FROM g JOIN mm ON g.id = mm.id WHERE mm.id = rep), s AS (SELECT id, count(*) AS n FROM r GROUP BY 1), i AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM r AS x JOIN r AS y ON x.gram = y.gram AND x.id < y.id GROUP BY 1, 2), p AS MATERIALIZED (SELECT a, b, k / (sa.n + sb.n - k) AS similarity FROM i JOIN s AS sa ON sa.id = a JOIN s AS sb ON sb.id = b WHERE k / (sa.n + sb.n - k) >= {THRESHOLD})"
+COMP = ", u AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), c AS (SELECT x, y FROM u UNION SELECT x, x FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x), k AS (SELECT x, min(y) AS component FROM c GROUP BY 1)"
+#: The heuristics, written out.
+WORD = "regexp_matches(lower({0}), '(^|[^a-z0-9])(mock|fake|dummy|test|sample|example|placeholder|stub|fixture|temp|tmp|foo|bar|baz|qux|lorem|ipsum)($|[^a-z0-9])')"
+DOMAIN = "regexp_matches(lower({0}), 'example\\.com|example\\.org|example\\.net|test\\.com|test\\.org|test\\.net|localhost|invalid|foo\\.com|bar\\.com')"
+EMAIL = "regexp_matches({0}, '(?i)[a-z0-9._%+-]+@(example\\.(com|org|net)|test\\.(com|org|net)|localhost|invalid|foo\\.com|bar\\.com)')"
+PHONE = "regexp_matches({0}, '(^|[^0-9])(\\(?(000|111|123)\\)?[-.[:space:]]?(0{{3,4}}|1{{3,4}}|456)[-.[:space:]]?(0000|1111|7890))([^0-9]|$)')"
+UUID = "(regexp_matches({0}, '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') AND (len(list_distinct(string_split(replace({0}, '-', ''), ''))) <= 2 OR lower(replace({0}, '-', '')) = '12345678123456781234567812345678'))"
+AGAIN = "(length({0}) BETWEEN 4 AND 20 AND ({0} = repeat(substr({0}, 1, 1), length({0})) OR (length({0}) % 2 = 0 AND {0} = repeat(substr({0}, 1, 2), length({0}) // 2))))"
+SECRET = "regexp_matches({0}, '(?i)^(password|secret|api[_-]?key|token|credential|auth)[0-9]*$|^(password|secret)123$|^test(password|secret|key)$')"
+NOTE = "regexp_matches({0}, '(?i)\\b(TODO|FIXME|XXX|HACK|BUG|NOTE)[\\s:]+.*(replace|change|update|mock|fake|dummy|placeholder|temporary|temp)')"
+RULES = [("keyword", "info", WORD), ("domain", "warning", DOMAIN), ("email", "warning", EMAIL), ("phone", "warning", PHONE), ("uuid", "warning", UUID), ("repetitive", "info", AGAIN), ("credential", "error", SECRET)]
+MOCK = "m AS (SELECT doc_id, unnest([" + ", ".join(f"CASE WHEN {sql.format('text')} THEN {{'kind': '{k}', 'severity': '{v}'}} END" for k, v, sql in [*RULES, ("placeholder", "info", NOTE)]) + "]) AS f FROM documents), x AS (SELECT doc_id, f.kind AS kind, f.severity AS severity FROM m WHERE f IS NOT NULL)"
+_BEST = "CASE " + " ".join(f"WHEN {sql.format('word')} THEN '{k}/{v}'" for level in ("error", "warning", "info") for k, v, sql in RULES if v == level) + " END"
 _HALF = lambda e: f"(sign({e}) * floor(abs({e}) + 0.5))::BIGINT"
 _LIN = lambda e, lo, hi: f"(greatest(0, least(1, ({e} - {lo}) / ({hi} - {lo}))) * 20)"
 
 QUERIES = {
     "content_hash": (content_hash, f"SELECT md5({NORM}) AS hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "clone_pairs": (clone_pairs, f"WITH {PAIRS} SELECT a, b, similarity FROM p"),
-    "clone_groups": (clone_groups, f"WITH RECURSIVE {PAIRS}, u AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), c AS (SELECT x, y FROM u UNION SELECT x, x FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x) SELECT component, count(*) AS size FROM (SELECT x, min(y) AS component FROM c GROUP BY 1) GROUP BY 1"),
-    "clone_stars": (clone_stars, f"WITH RECURSIVE {PAIRS}, u AS (SELECT a AS x, b AS y, similarity AS s FROM p UNION ALL SELECT b, a, similarity FROM p), c AS (SELECT x, y FROM u UNION SELECT x, x FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x), k AS (SELECT x, min(y) AS component FROM c GROUP BY 1), t AS (SELECT x, round(sum(s), 9) AS total FROM u GROUP BY 1), m AS (SELECT component, x AS medoid FROM (SELECT component, x, row_number() OVER (PARTITION BY component ORDER BY total DESC, x) AS rn FROM k JOIN t USING (x)) WHERE rn = 1) SELECT component, medoid, y AS node, s AS similarity FROM m JOIN u ON medoid = x UNION ALL SELECT component, medoid, medoid, 1.0::DOUBLE FROM m"),
-    "clone_statistics": (clone_statistics, f"WITH {PAIRS} SELECT CASE WHEN similarity >= 0.999 THEN 1 ELSE 2 END::INT AS type, count(*) AS pairs, avg(similarity) AS mean_similarity FROM p GROUP BY 1"),
-    "text_similarity": (text_similarity, "WITH x AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS s FROM conversations) SELECT x.conv_id, x.turn, CASE WHEN greatest(length(x.s), length(y.s)) = 0 THEN 1 ELSE 1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s)) END::DOUBLE AS similarity FROM x JOIN x AS y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1"),
+    "clone_groups": (clone_groups, f"WITH RECURSIVE {PAIRS}{COMP} SELECT coalesce(component, rep) AS component, count(*) AS size FROM mm LEFT JOIN k ON rep = x GROUP BY 1 HAVING count(*) > 1"),
+    "clone_stars": (clone_stars, f"WITH RECURSIVE {PAIRS}{COMP}, v AS (SELECT a AS x, b AS y, similarity AS s FROM p UNION ALL SELECT b, a, similarity FROM p), t AS (SELECT x, round(sum(s), 9) AS total FROM v GROUP BY 1), m AS (SELECT component, x AS medoid FROM (SELECT component, x, row_number() OVER (PARTITION BY component ORDER BY total DESC, x) AS rn FROM k JOIN t USING (x)) WHERE rn = 1) SELECT component, medoid, y AS node, s AS similarity FROM m JOIN v ON medoid = x UNION ALL SELECT component, medoid, medoid, 1.0::DOUBLE FROM m"),
+    "clone_statistics": (clone_statistics, f"WITH {PAIRS}, z AS (SELECT 1 AS type, rep AS a, id AS b, 1.0::DOUBLE AS similarity FROM mm WHERE id <> rep UNION ALL SELECT 2, a, b, similarity FROM p) SELECT type, count(*) AS pairs, avg(similarity) AS mean_similarity, fragments FROM z JOIN (SELECT type, count(DISTINCT e) AS fragments FROM (SELECT type, a AS e FROM z UNION ALL SELECT type, b FROM z) GROUP BY 1) USING (type) GROUP BY type, fragments"),
+    "clone_cliques": (clone_cliques, None),
+    "clone_centroids": (clone_centroids, None),
+    "clone_bands": (clone_bands, f"WITH {PAIRS} SELECT a, b, similarity FROM p"),
+    "clone_best": (clone_best, f"WITH {PAIRS} SELECT a, b, similarity FROM p ORDER BY similarity DESC, a, b LIMIT 20"),
+    "clone_covered": (clone_covered, f"WITH {PAIRS}, n AS (SELECT DISTINCT * FROM (SELECT a AS gr, b AS node FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT a, a FROM p UNION ALL SELECT b, b FROM p)), l AS (SELECT gr, list_sort(list(node)) AS ns FROM n GROUP BY 1) SELECT gr AS \"group\", node FROM n WHERE gr NOT IN (SELECT x.gr FROM l AS x JOIN l AS y ON x.gr <> y.gr AND list_has_all(y.ns, x.ns) AND (len(x.ns) < len(y.ns) OR x.gr > y.gr))"),
+    "clone_referenced": (clone_referenced, f"WITH {PAIRS} SELECT doc_id AS id, source FROM documents WHERE doc_id IN (SELECT a FROM p UNION SELECT b FROM p)"),
+    "text_similarity": (text_similarity, None),
     "vector_similarity": (vector_similarity, "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], medoid::DOUBLE[]), 6) AS similarity FROM embeddings JOIN (SELECT label, arg_min(embedding, vec_id) AS medoid FROM embeddings GROUP BY 1) USING (label)"),
     "mock_findings": (mock_findings, f"WITH {MOCK} SELECT * FROM x"),
     "mock_summary": (mock_summary, f"WITH {MOCK} SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS documents FROM x GROUP BY 1"),
     "mock_severity": (mock_severity, f"WITH {MOCK} SELECT doc_id, max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END)::BIGINT AS worst, count(*) AS n FROM x GROUP BY 1"),
+    "mock_words": (mock_words, f"SELECT word, split_part(f, '/', 1) AS kind, split_part(f, '/', 2) AS severity, count(*) AS n FROM (SELECT word, {_BEST} AS f FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_@.:/-]+')) AS word FROM conversations) WHERE word <> '') WHERE f IS NOT NULL GROUP BY 1, 2, 3"),
     "repetitive_words": (repetitive_words, "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM conversations) WHERE length(word) BETWEEN 4 AND 20 AND (word = repeat(substr(word, 1, 1), length(word)) OR (length(word) % 2 = 0 AND word = repeat(substr(word, 1, 2), length(word) // 2))) GROUP BY 1"),
     "line_counts": (line_counts, "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS lines, (len(string_split(text, chr(10))) - ends_with(text, chr(10))::INT)::BIGINT AS physical, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''])::BIGINT AS source FROM documents"),
     "grams_summary": (grams_summary, "WITH src AS (SELECT item_id AS id, text FROM benchmark), " + GRAMS + " SELECT id, count(*) AS grams FROM g GROUP BY 1"),

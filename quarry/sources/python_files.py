@@ -1,269 +1,177 @@
-"""Python source files as relations: scan, parse once, and emit nodes, functions, imports, classes and unreachable code.
+"""Python source files as relations: scan, one parse, then relations of nodes, functions, blocks, imports, classes and so on.
 
-Parsing is the only Python boundary; everything after it is relational. A file that can't be read or parsed is a row
-with an error, never a failed job. Vendored and hidden folders are pruned by path.
+Parsing is the only Python boundary; everything after it is relational. ``snapshot`` parses each file once and writes one
+row a file with a column for each relation, an array of structs, to the shared folder; ``relation`` unnests one of them,
+so Parquet reads that column alone. A file that can't be read or parsed is a row with an error, never a failed job.
 """
 
 from __future__ import annotations
 
-import ast
+import sys
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from quarry.functions.lineage import stored
 from quarry.functions.scalar import glob_regex
-from quarry.sources import control_flow
+from quarry.sources import facts
 
-#: Folders that a scan skips (fixed values).
-SKIPPED = "__pycache__ .git .hg .svn .tox .venv build dist env node_modules site-packages venv .mypy_cache .pytest_cache .ruff_cache .eggs".split()
+#: Folders that a scan skips (fixed values); * stands for any characters.
+SKIPPED = ["__pycache__", ".git", ".svn", ".hg", ".bzr", "node_modules", ".tox", ".pytest_cache", ".mypy_cache", "venv", "env", ".venv", ".env", "build", "dist", "*.egg-info"]
+#: Files that are analysed by default, and those that aren't (fixed values).
+SOURCES, MODULES = ("**/*.py",), ("**/*.py", "**/*.pyi")
+EXCLUDED = ("test_*.py", "*_test.py", "**/tests/**", "**/test/**", "**/testing/**", "**/migrations/**")
+_MB = 1 << 20
 
 
-def _underscored(spark: SparkSession, root: str, most: int = 100_000) -> DataFrame:
-    """Files whose names begin with an underscore, which Spark's readers hide: the driver lists and reads them through
-    the Hadoop file system. They are package markers in the main; more than ``most`` are an error, not a cut."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, it = [], fs.listFiles(top, True)
+def matches(path: Column, pattern: str, basename: bool = False) -> Column:
+    """A glob on a path; a pattern without a slash may also match the last part alone."""
+    out = path.rlike(glob_regex(pattern))
+    return out | F.element_at(F.split(path, "/"), -1).rlike(glob_regex(pattern)) if basename and "/" not in pattern else out
+
+
+def included(path: Column, include, exclude) -> Column:
+    """Exclusion goes first; no include patterns include all."""
+    keep = reduce(lambda a, b: a | b, [matches(path, g) for g in include], F.lit(not include))
+    return reduce(lambda a, g: a & ~matches(path, g, True), exclude, keep)
+
+
+def pruned(path: Column) -> Column:
+    """Whether a folder of the path is hidden or in SKIPPED, in any case of letters."""
+    folders = F.slice(F.split(F.lower(path), "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    return F.exists(folders, lambda d: d.startswith(".") | reduce(lambda a, b: a | b, [d.rlike(glob_regex(g)) for g in SKIPPED]))
+
+
+def _hidden_names(spark: SparkSession, root: str):
+    """Paths of files that Spark's readers hide: names that begin with an underscore, and empty files. Names only."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    it = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
     while it.hasNext():
-        p = it.next().getPath()
-        if p.getName().startswith("_") and p.getName().endswith((".py", ".pyi")):
-            if len(found) == most:
-                raise ValueError(f"more than {most} underscored files under {root}")
-            stream = fs.open(p)
+        status = it.next()
+        p = status.getPath()
+        if (p.getName().startswith("_") or status.getLen() == 0) and p.getName().endswith((".py", ".pyi")):
+            yield p.toString()
+
+
+def _read(batches):
+    from pyarrow import fs
+
+    for b in batches:
+        found, errors = [], []
+        for path in b.column("path").to_pylist():
             try:
-                found.append((p.toString(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-            finally:
-                stream.close()
-    return spark.createDataFrame(found, "path string, content binary")
-
-
-def scan(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*.py", "**/*.pyi"), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path, module, content of the Python files under ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py*").load(root).select("path", "content").unionByName(_underscored(spark, root))
-    rel = F.regexp_replace("path", "^.*?" + root.removeprefix("file://").rstrip("/").replace(".", r"\."), "").substr(2, 1 << 20)
-    x = files.select(rel.alias("path"), F.col("content"))
-    keep = F.lit(False)
-    for g in include:
-        keep = keep | F.col("path").rlike(glob_regex(g))
-    for g in exclude:
-        keep = keep & ~F.col("path").rlike(glob_regex(g))
-    parts = F.split("path", "/")
-    pruned = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.startswith(".") | p.isin(SKIPPED))
-    dotted = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.pyi?$", ""), "/", "."), r"(^|\.)__init__$", "")
-    return x.where(keep & ~pruned).select("path", dotted.alias("module"), "content")
-
-
-NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match, ast.ExceptHandler, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Lambda, ast.IfExp)
-SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-ENDS = (ast.Return, ast.Raise, ast.Break, ast.Continue)
-
-
-def nodes(tree: ast.AST):
-    """(id, parent, type, name, depth, start, end, size): pre-order ids; a node's subtree is [id, id + size)."""
-    out: list[list] = []
-
-    def walk(n, parent, depth):
-        me = len(out)
-        name = getattr(n, "name", None) or getattr(n, "id", None) or getattr(n, "attr", None)
-        out.append([me, parent, type(n).__name__, name, depth, getattr(n, "lineno", None), getattr(n, "end_lineno", None), 0])
-        for c in ast.iter_child_nodes(n):
-            walk(c, me, depth + 1)
-        out[me][7] = len(out) - me
-
-    walk(tree, None, 0)
-    return out
-
-
-def _inside(fn: ast.AST):
-    """Nodes of a function without those of nested scopes."""
-    stack = list(ast.iter_child_nodes(fn))
-    while stack:
-        n = stack.pop()
-        yield n
-        if not isinstance(n, SCOPES):
-            stack += ast.iter_child_nodes(n)
-
-
-def cyclomatic(fn: ast.AST) -> int:
-    """Decisions + 1: branches, loops, handlers, cases, conditions of comprehensions."""
-    n = 1
-    for x in _inside(fn):
-        n += isinstance(x, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.match_case, ast.IfExp))
-        n += sum(1 + len(g.ifs) for g in getattr(x, "generators", ()))
-    return n
-
-
-def cognitive(fn: ast.AST) -> int:
-    """Increments for breaks in the flow, weighted by nesting; else and elif and runs of one boolean operator add one."""
-
-    def body(stmts, level):
-        return sum(visit(s, level) for s in stmts)
-
-    def exprs(n, level):
-        return sum(visit(c, level) for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.stmt, ast.ExceptHandler, ast.match_case)))
-
-    def visit(n, level):
-        if isinstance(n, SCOPES):
-            return 0
-        if isinstance(n, ast.If):
-            total, link = 0, n
-            total += 1 + level + visit(n.test, level) + body(n.body, level + 1)
-            while len(link.orelse) == 1 and isinstance(link.orelse[0], ast.If):
-                link = link.orelse[0]
-                total += 1 + visit(link.test, level) + body(link.body, level + 1)
-            return total + (1 + body(link.orelse, level + 1) if link.orelse else 0)
-        if isinstance(n, (ast.For, ast.AsyncFor, ast.While)):
-            return 1 + level + exprs(n, level) + body(n.body, level + 1) + (1 + body(n.orelse, level + 1) if n.orelse else 0)
-        if isinstance(n, (ast.Try, ast.TryStar)):
-            return body(n.body, level) + sum(1 + level + body(h.body, level + 1) for h in n.handlers) + body(n.orelse, level) + body(n.finalbody, level)
-        if isinstance(n, ast.Match):
-            return 1 + level + sum(body(c.body, level + 1) for c in n.cases)
-        if isinstance(n, ast.IfExp):
-            return 1 + level + sum(visit(c, level + 1) for c in ast.iter_child_nodes(n))
-        if isinstance(n, ast.BoolOp):
-            return 1 + sum(visit(c, level) for c in n.values)
-        if isinstance(n, ast.Lambda):
-            return visit(n.body, level + 1)
-        return sum(visit(c, level) for c in ast.iter_child_nodes(n))
-
-    return body(getattr(fn, "body", []), 0)
-
-
-def nesting(fn: ast.AST) -> int:
-    def deep(n, level):
-        level += isinstance(n, NESTING)
-        return max([level, *(deep(c, level) for c in ast.iter_child_nodes(n) if not isinstance(c, SCOPES))])
-
-    return max([0, *(deep(c, 0) for c in ast.iter_child_nodes(fn))])
-
-
-def unreachable(fn: ast.AST):
-    """(start, end, reason) of statements after one that always leaves."""
-
-    def leaves(s) -> str | None:
-        if isinstance(s, ENDS):
-            return f"after_{type(s).__name__.lower()}"
-        if isinstance(s, ast.If) and s.orelse and block(s.body) and block(s.orelse):
-            return "after_branches"
-        if isinstance(s, ast.While) and isinstance(s.test, ast.Constant) and s.test.value and not any(isinstance(x, ast.Break) for x in _inside(s)):
-            return "after_infinite_loop"
-        if isinstance(s, (ast.With, ast.AsyncWith)):
-            return block(s.body)
-        return None
-
-    def block(stmts) -> str | None:
-        return next((r for s in stmts if (r := leaves(s))), None)
-
-    for n in [fn, *_inside(fn)]:
-        if isinstance(n, SCOPES) and n is not fn:
-            continue
-        for part in ("body", "orelse", "finalbody"):
-            stmts = getattr(n, part, None)
-            if isinstance(stmts, list) and stmts and isinstance(stmts[0], ast.stmt):
-                for i, s in enumerate(stmts[:-1]):
-                    if r := leaves(s):
-                        yield stmts[i + 1].lineno, stmts[-1].end_lineno, r
-                        break
-
-
-def functions(tree: ast.AST, scope: str = ""):
-    """(qualified name, node) of all functions; the module's own code is '<module>'."""
-    for n in ast.iter_child_nodes(tree):
-        if isinstance(n, SCOPES):
-            name = f"{scope}.{n.name}" if scope else n.name
-            if not isinstance(n, ast.ClassDef):
-                yield name, n
-            yield from functions(n, name)
-        else:
-            yield from functions(n, scope)
-
-
-def imports(tree: ast.AST):
-    """(module, name, alias, level, lazy, type_checking)."""
-
-    def walk(n, lazy, typed):
-        if isinstance(n, ast.Import):
-            for a in n.names:
-                yield a.name, None, a.asname, 0, lazy, typed
-        elif isinstance(n, ast.ImportFrom):
-            for a in n.names:
-                yield n.module or "", a.name, a.asname, n.level, lazy, typed
-        else:
-            typed = typed or isinstance(n, ast.If) and ast.unparse(n.test).split(".")[-1] == "TYPE_CHECKING"
-            lazy = lazy or isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
-            for c in ast.iter_child_nodes(n):
-                yield from walk(c, lazy, typed)
-
-    yield from walk(tree, False, False)
-
-
-def class_facts(tree: ast.AST):
-    """(class, kind, method, name): variables and calls on self of each method, bases, instantiations and hints."""
-    for c in ast.walk(tree):
-        if not isinstance(c, ast.ClassDef):
-            continue
-        for b in c.bases:
-            yield c.name, "base", None, ast.unparse(b).split("[")[0]
-        methods = [m for m in c.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
-        names = {m.name for m in methods}
-        for m in methods:
-            own = m.args.args[0].arg if m.args.args else None
-            yield c.name, "method", m.name, m.name
-            for x in ast.walk(m):
-                if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == own:
-                    yield c.name, "call" if x.attr in names else "variable", m.name, x.attr
-                elif isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id[:1].isupper():
-                    yield c.name, "instantiation", m.name, x.func.id
-                elif isinstance(x, ast.arg) and x.annotation is not None:
-                    yield c.name, "hint", m.name, ast.unparse(x.annotation)
-
-
-def trees(tree: ast.AST):
-    """(function, start, labels, parents): each function's tree in pre-order, a label being the node's type."""
-    for name, fn in functions(tree):
-        rows = nodes(fn)
-        yield name, fn.lineno, [r[2] for r in rows], [r[1] for r in rows]
-
-
-_STR, _INT = pa.string(), pa.int64()
-RELATIONS = {
-    "nodes": ("id long, parent long, type string, name string, depth long, start_line long, end_line long, size long", [_INT, _INT, _STR, _STR, _INT, _INT, _INT, _INT], nodes),
-    "functions": (
-        "function string, start_line long, end_line long, parameters long, cyclomatic long, cognitive long, nesting long",
-        [_STR, *[_INT] * 6],
-        lambda t: [(n, f.lineno, f.end_lineno, len([a for a in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs] if a.arg not in ("self", "cls")]), cyclomatic(f), cognitive(f), nesting(f)) for n, f in functions(t)],
-    ),
-    "imports": ("target string, name string, alias string, level long, lazy boolean, type_checking boolean", [_STR, _STR, _STR, _INT, pa.bool_(), pa.bool_()], imports),
-    "unreachable": ("function string, start_line long, end_line long, reason string", [_STR, _INT, _INT, _STR], lambda t: [(n, *r) for n, f in functions(t) for r in unreachable(f)]),
-    "class_facts": ("class string, kind string, method string, name string", [_STR] * 4, class_facts),
-    "trees": ("function string, start_line long, labels array<string>, parents array<long>", [_STR, _INT, pa.list_(_STR), pa.list_(_INT)], trees),
-    "cfg_blocks": (
-        "function string, line long, block long, label string, is_entry boolean, is_exit boolean, start_line long, end_line long, n_stmts long, reachable boolean",
-        [_STR, _INT, _INT, _STR, pa.bool_(), pa.bool_(), _INT, _INT, _INT, pa.bool_()],
-        lambda t: [(n, f.lineno, *r) for n, f in functions(t) for r in control_flow.blocks(f)],
-    ),
-    "cfg_edges": ("function string, line long, src long, dst long, edge_type string", [_STR, _INT, _INT, _INT, _STR], lambda t: [(n, f.lineno, *r) for n, f in functions(t) for r in control_flow.edges(f)]),
-    "errors": ("error string", [_STR], lambda t: ()),
-}
-
-
-def extract(files: DataFrame, relation: str) -> DataFrame:
-    """One relation of the parsed files, with path and module; 'errors' has a row for each file that has none of the others."""
-    schema, kinds, rows_of = RELATIONS[relation]
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
+                system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                with system.open_input_stream(at) as f:
+                    found.append(f.read())
+                errors.append(None)
+            except (OSError, ValueError, pa.ArrowException) as e:
+                found.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(found, pa.binary()), pa.array(errors, pa.string())], ["path", "content", "read_err"])
+
+
+def scan(spark: SparkSession, root: str, include: tuple[str, ...] = MODULES, exclude: tuple[str, ...] = (), roots: tuple[str, ...] = (), recursive: bool = True) -> DataFrame:
+    """path (below ``root``), full_path, module, content, read_err of the Python files under ``root``.
+
+    Package markers, whose underscore hides them from Spark's readers, and empty files are read by the executors from a list
+    of names.
+    ``roots``: folders below ``root`` that module names start from, besides ``src`` if it is no package; the longest wins.
+    """
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py*").load(root).select("path", "content", F.lit(None).cast("string").alias("read_err"))
+    names = [(p,) for p in _hidden_names(spark, root)]
+    if names:
+        listed = spark.createDataFrame(names, "path string").repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism))
+        seen = seen.unionByName(listed.mapInArrow(_read, "path string, content binary, read_err string"))
+    depth = len(root.split("://", 1)[-1].strip("/").split("/"))
+    plain = F.regexp_replace("path", r"^[a-zA-Z0-9+.-]+:/*", "")
+    below = F.array_join(F.slice(F.split(plain, "/"), F.lit(depth + 1 if "://" not in root or root.startswith("file:") else depth), F.lit(1 << 20)), "/")
+    x = seen.select(below.alias("path"), F.col("path").alias("full_path"), "content", "read_err")
+    x = x.where(included(F.col("path"), include, exclude) & ~pruned(F.col("path")))
+    if not recursive:
+        x = x.where(~F.col("path").contains("/"))
+    markers = {n.removeprefix("file:").rstrip("/") for (n,) in names}
+    base = root.removeprefix("file://").rstrip("/")
+    if not any(n.endswith(f"{base}/src/__init__.py") or n.endswith(f"{base}/src/__init__.pyi") for n in markers):
+        roots = (*roots, "src")
+    return x.withColumn("module", module_name(F.col("path"), roots)).select("path", "full_path", "module", "content", "read_err")
+
+
+def module_name(path: Column, roots: tuple[str, ...] = ()) -> Column:
+    """Dotted name of a file below the longest of ``roots`` that holds it."""
+    rel = path
+    for r in sorted(set(roots), key=len):
+        rel = F.when(path.startswith(r.rstrip("/") + "/"), F.substring(path, len(r.rstrip("/")) + 2, _MB)).otherwise(rel)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(rel, r"\.pyi?$", ""), "/", "."), r"(^|\.)__init__$", "")
+
+
+def canonical(files: DataFrame) -> DataFrame:
+    """One file a module: .py before .pyi, then the least path; files without a module name go."""
+    rank = F.when(F.col("path").endswith(".py"), 0).when(F.col("path").endswith(".pyi"), 1).otherwise(2)
+    first = F.row_number().over(Window.partitionBy("module").orderBy(rank, "path"))
+    return files.where("module <> ''").withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def _struct(name: str) -> T.StructType:
+    return T.StructType.fromDDL(facts.RELATIONS[name][0])
+
+
+def _list_of(rows: list[tuple], kind: pa.StructType) -> pa.ListArray:
+    """The rows of one file as an array of one list."""
+    cols = list(zip(*rows)) if rows else [()] * kind.num_fields
+    values = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(cols, kind)]
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(values, fields=list(kind)))
+
+
+def _parser(names: list[str]):
+    kinds = {n: to_arrow_type(_struct(n)) for n in names}
+
+    def parse(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # deep trees are legal
         for b in batches:
-            out = []
-            for path, module, content in zip(*(b.column(c).to_pylist() for c in ("path", "module", "content"))):
-                try:
-                    found = [tuple(r) for r in rows_of(ast.parse(content or b""))]
-                except (SyntaxError, ValueError, RecursionError) as e:
-                    found = [(f"{type(e).__name__}: {e}",)] if relation == "errors" else []
-                out += [(path, module, *r) for r in found]
-            cols = list(zip(*out)) if out else [()] * (2 + len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [_STR, _STR, *kinds])], ["path", "module", *names])
-
-    return files.select("path", "module", "content").mapInArrow(run, "path string, module string, " + schema)
+            for k in range(b.num_rows):
+                path, module, content, read_err = (b.column(c)[k].as_py() for c in ("path", "module", "content", "read_err"))
+                rows, error = {n: [] for n in names}, None
+                if read_err is None:
+                    try:
+                        source = facts.Source(path, module, content or b"")
+                        rows = {n: list(facts.RELATIONS[n][1](source)) for n in names}
+                    except (SyntaxError, ValueError, RecursionError, MemoryError, LookupError) as e:
+                        rows, error = {n: [] for n in names}, f"{type(e).__name__}: {e}"
+                cols = [pa.array([v], pa.string()) for v in (path, module, read_err, error)] + [_list_of(rows[n], kinds[n]) for n in names]
+                yield pa.RecordBatch.from_arrays(cols, ["path", "module", "read_err", "parse_err", *names])
+
+    return parse
+
+
+def parsed(files: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """One row a file: path, module, read_err, parse_err and an array for each of ``names`` (default: every relation)."""
+    names = list(names or facts.RELATIONS)
+    fields = [T.StructField(c, T.StringType()) for c in ("path", "module", "read_err", "parse_err")] + [T.StructField(n, T.ArrayType(_struct(n))) for n in names]
+    has_err = "read_err" in files.columns
+    slim = files.select("path", "module", F.col("content").cast("binary").alias("content"), F.col("read_err") if has_err else F.lit(None).cast("string").alias("read_err"))
+    return slim.mapInArrow(_parser(names), T.StructType(fields))
+
+
+def snapshot(files: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """``parsed``, written once: all analyses read the same parse."""
+    return stored(parsed(files, names), "snapshot")
+
+
+def relation(snap: DataFrame, name: str) -> DataFrame:
+    """path, module and the columns of one relation."""
+    return snap.select("path", "module", F.inline(name))
+
+
+def errors(snap: DataFrame) -> DataFrame:
+    """path, module, error of files that yield nothing."""
+    x = snap.select("path", "module", F.coalesce("read_err", "parse_err").alias("error"))
+    return x.where("error is not null")
+
+
+def extract(files: DataFrame, name: str) -> DataFrame:
+    """One relation of files that aren't worth a snapshot."""
+    return errors(parsed(files, ("lines",))) if name == "errors" else relation(parsed(files, (name,)), name)

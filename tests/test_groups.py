@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from quarry.operators import communities as M
+from quarry.operators import costs as K
 from quarry.operators import graph as G
 from quarry.operators import grouping as N
 from quarry.operators import trees as T
@@ -124,20 +126,21 @@ def endless():
 
 
 def test_control_flow():
-    fs = dict(P.functions(ast.parse(CODE)))
-    dead = [(b[4], b[5]) for b in C.blocks(fs["f"]) if not b[7] and b[6]]
+    fs = {n.name: n for n in ast.parse(CODE).body}
+    flow = C.Flow(fs["f"])
+    dead = [(b[4], b[5]) for b in C.blocks(flow) if not b[9] and b[6]]
     assert (12, 12) in dead and all(3 <= a for a, _ in dead)
-    assert {"cond_true", "cond_false", "loop", "break", "return", "exception", "normal"} >= {e[2] for e in C.edges(fs["f"])} >= {"break", "return", "exception"}
-    assert [(b[4], b[5]) for b in C.blocks(fs["endless"]) if not b[7] and b[6]] == [(fs["endless"].body[1].lineno,) * 2]
+    assert {"cond_true", "cond_false", "loop", "break", "return", "exception", "normal"} >= {e[2] for e in flow.edges} >= {"break", "return", "exception"}
 
 
 def test_structural_clones(spark, tmp_path):
     (tmp_path / "a.py").write_text(CODE)
     files = P.scan(spark, f"file://{tmp_path}")
-    trees = P.extract(files, "trees").select(F.col("function").alias("id"), "labels", "parents")
+    plain = F.transform("labels", lambda x: F.regexp_extract(x, r"^[^(]+", 0))
+    trees = P.extract(files, "fragments").where("name is not null").select(F.col("name").alias("id"), plain.alias("labels"), "parents")
     pairs = spark.createDataFrame([("f", "g"), ("f", "endless")], "a string, b string")
     assert [(r.a, r.b, r.similarity) for r in T.structural_pairs(pairs, trees).collect()] == [("f", "g", 1.0)]
-    assert P.extract(files, "cfg_blocks").where("is_entry").count() == 3
+    assert P.extract(files, "cfg_blocks").where("is_entry").count() == 4
     assert P.extract(files, "cfg_edges").where("edge_type = 'break'").count() == 2
 
 
@@ -151,3 +154,77 @@ def test_windows_on_a_stream_match_a_batch(spark, tmp_path):
         q.awaitTermination(120)
         key = lambda df: sorted(map(str, df.drop("total").collect()))
         assert key(spark.table(f"out_{name}")) == key(f(events))
+
+
+def test_strong_components_against_closure(spark):
+    rng = random.Random(17)
+    for n, m in ((6, 8), (12, 20), (12, 40), (5, 0)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {(v, v) for v in range(n)} | edges
+        while True:
+            more = reach | {(a, d) for a, b in reach for c, d in reach if b == c}
+            if more == reach:
+                break
+            reach = more
+        want = {v: min(u for u in range(n) if (u, v) in reach and (v, u) in reach) for v in range(n)}
+        nodes = spark.createDataFrame([(v,) for v in range(n)], "node long")
+        df = spark.createDataFrame(sorted(edges), "src long, dst long")
+        assert {r.node: r.component for r in G.strong_components(nodes, df).collect()} == want
+        hops = {v: 0 for v in [0]}
+        frontier = [0]
+        while frontier:
+            frontier = [b for a, b in sorted(edges) if a in frontier and b not in hops and not hops.update({b: hops[a] + 1})]
+        goal = max(hops)
+        path = G.shortest_path(df, 0, goal)
+        assert len(path) == hops[goal] + 1 and path[0] == 0 and path[-1] == goal and all(e in edges for e in zip(path, path[1:]))
+    assert G.shortest_path(spark.createDataFrame([(1, 2)], "src long, dst long"), 2, 1) == []
+
+
+def test_longest_chains(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (1, 4), (5, 4)], "src long, dst long")
+    nodes = spark.createDataFrame([(v,) for v in range(1, 7)], "node long")
+    got = [(r.component, r.length, r.chain) for r in G.longest_chains(nodes, edges, 3).collect()]
+    assert got == [(4, 3, [1, 2, 4]), (2, 2, [1, 2]), (1, 1, [1])]
+
+
+def test_groups_by_linkage(spark):
+    rows = [("a", "b", 0.9), ("b", "c", 0.8), ("a", "c", 0.6), ("c", "d", 0.95), ("x", "y", 0.5)]
+    pairs = spark.createDataFrame(rows, "a string, b string, similarity double")
+    got = {}
+    for r in N.complete_groups(pairs, 0.7).collect():
+        got.setdefault(r.group, set()).add(r.node)
+    assert list(got.values()) == [{"a", "b"}, {"c", "d"}] or sorted(map(sorted, got.values())) == [["a", "b"], ["c", "d"]]
+    got = {}
+    for r in N.centroid_groups(pairs, 0.7).collect():
+        got.setdefault(r.group, set()).add(r.node)
+    assert got == {"a": {"a", "b", "c", "d"}}
+    small = {}
+    for r in N.centroid_groups(pairs, 0.7, 2).collect():
+        small.setdefault(r.group, set()).add(r.node)
+    assert small == {"a": {"a", "b"}, "c": {"c", "d"}}
+
+
+def test_uncovered_groups(spark):
+    rng = random.Random(4)
+    groups = {g: frozenset(rng.sample(range(8), rng.randrange(1, 5))) for g in range(30)}
+    df = spark.createDataFrame([(g, n) for g, ns in groups.items() for n in ns], "group long, node long")
+    want = {g for g, ns in groups.items() if not any(ns < o or ns == o and h < g for h, o in groups.items() if h != g)}
+    assert {r.group for r in N.uncovered(df).collect()} == want
+
+
+def test_small_communities_merge(spark):
+    edges = [(1, 2, 5.0), (2, 3, 1.0), (3, 4, 5.0), (4, 5, 2.0), (6, 7, 1.0)]
+    weighted = spark.createDataFrame(edges, "a long, b long, weight double")
+    parts = spark.createDataFrame([(1, 10), (2, 10), (3, 20), (4, 20), (5, 30), (6, 40), (7, 40), (8, 50)], "node long, community long")
+    assert {r.node: r.community for r in M.merged_small(weighted, parts, 2).collect()} == {1: 10, 2: 10, 3: 20, 4: 20, 5: 20, 6: 40, 7: 40, 8: 50}
+    assert {r.node: r.community for r in M.merged_small(weighted, parts, 3).collect()} == {1: 30, 2: 30, 3: 30, 4: 30, 5: 30, 6: 40, 7: 40, 8: 50}  # 20 is on the round's list
+
+
+def test_weighted_tree_costs():
+    c = K.Costs()
+    assert (c.edit("FunctionDef(f)"), c.edit("If"), c.edit("Call"), c.edit("Decorator"), c.edit("Name(x)")) == (1.5, 1.3, 0.8, 0.1, 1.0)
+    assert (c.rename("Name(a)", "Name(b)"), c.rename("FunctionDef(a)", "FunctionDef(b)"), c.rename("For", "AsyncFor"), c.rename("If", "While"), c.rename("If", "Name(a)")) == (0.7, 1.0, 0.8, 0.9, 1.0)
+    free = K.Costs(ignore_literals=True, ignore_names=True)
+    assert free.rename("Name(a)", "Name(b)") == 0 and free.edit("Constant(1)") == 0.1
+    a, b = (["FunctionDef(f)", "If", "Name(x)"], [None, 0, 1]), (["FunctionDef(f)", "If"], [None, 0])
+    assert T.tree_distance(a, b, c) == 1.0 and T.tree_distance(a, b) == 1 and T.tree_distance(a, ([], []), c) == 1.5 + 1.3 + 1.0
