@@ -263,3 +263,21 @@ def statistics(pairs: DataFrame) -> DataFrame:
 def duplication(cloned: Column, fragments: Column) -> Column:
     """Percent of fragments that are clones, 30 at most."""
     return F.least(F.lit(30.0), 100.0 * S.ratio(cloned, fragments))
+
+
+def of_two(spark, first: str, second: str) -> DataFrame:
+    """One row: textual, syntactic, structural and semantic likeness of two pieces of Python code, and their type."""
+    from quarry.operators import costs, trees
+    from quarry.sources import python_files as P
+
+    files = spark.createDataFrame([("a", "a", first.encode()), ("b", "b", second.encode())], "path string, module string, content binary")
+    f = P.extract(files, "fragments").where("fragment = 0").withColumn("id", F.col("path"))
+    pair = spark.createDataFrame([("a", "b")], "a string, b string")
+    sets = f.select("id", F.array_sort(F.transform(grams(F.col("labels")), lambda x: F.xxhash64(x))).alias("g"))
+    cols = ["text", "signals", "literals", "returns", "blocks", "edges", "edge_types", "defs", "pairs", "cross_pairs", "def_kinds", "use_kinds"]
+    x = jaccards(pair, sets).withColumnRenamed("similarity", "syntactic").join(trees.structural_pairs(pair, f, 0.0, costs.Costs()).withColumnRenamed("similarity", "structural"), ["a", "b"])
+    for e in ("a", "b"):
+        x = x.join(f.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in cols]), e)
+    t, s = textual(F.col("a_text"), F.col("b_text")), semantic()
+    found = classified(t, F.col("syntactic"), F.col("structural"), s)
+    return x.select(t.alias("textual"), "syntactic", "structural", s.alias("semantic"), found["type"].alias("type"), found["similarity"].alias("similarity"))

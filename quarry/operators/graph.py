@@ -6,7 +6,7 @@ don't grow and lost executors cost one step. No vertex or edge set is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.lineage import cut
@@ -208,9 +208,10 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
             return left.select(F.col("src").alias("node")).distinct()
 
 
-def undirected(edges: DataFrame, lazy: bool = True) -> DataFrame:
-    """(a, b, weight) with a < b: weights of both directions summed, loops dropped; lazy edges too, if not wanted."""
-    return (edges if lazy else edges.where(~F.col("is_lazy"))).where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("weight"))
+def undirected(edges: DataFrame, lazy: bool = True, weight: str | Column = "weight") -> DataFrame:
+    """(a, b, weight) with a < b: weights of both directions summed, loops dropped; lazy edges too, if not wanted. ``weight``
+    may be any expression of an edge's columns."""
+    return (edges if lazy else edges.where(~F.col("is_lazy"))).where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(weight).alias("weight"))
 
 
 def modularity(weighted: DataFrame, parts: DataFrame, resolution: float = 1.0) -> DataFrame:

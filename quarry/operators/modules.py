@@ -89,7 +89,8 @@ def load_time(edges_: DataFrame) -> DataFrame:
     return edges_.where(~F.col("is_lazy"))
 
 
-def abstractness(facts: DataFrame) -> Column:
+def abstractness() -> Column:
+    """Of the relation of module facts."""
     return S.ratio(F.col("abstract_classes"), F.col("classes"))
 
 
