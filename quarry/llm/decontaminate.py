@@ -146,7 +146,7 @@ def _covered(spans):
     step = lambda acc, s: F.struct(
         (acc["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(s["lo"], acc["end"]))).cast("long").alias("n"), F.greatest(acc["end"], s["hi"]).alias("end")
     )
-    return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), step)["n"]
+    return F.aggregate(F.sort_array(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, **kw) -> DataFrame:
@@ -154,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     n = F.size("items").cast("long")
     return hits(docs, benchmark, **kw).select(
         "doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), n.alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"),
+        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"),
     )
 
 
