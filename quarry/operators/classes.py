@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar as S
+from quarry.functions.lineage import cut
 from quarry.operators.graph import components
 from quarry.sources.facts import BUILTINS, CTYPES
 
@@ -29,21 +30,23 @@ def _key(cols: list[str]) -> Column:
 def lcom4(methods: DataFrame, uses: DataFrame, calls: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """class -> methods, variables, lcom4, groups: connected components of methods, by shared variables and by calls.
 
-    methods: (class, method); uses: (class, method, variable); calls: (class, method, callee). Methods are linked to the
+    methods: (class, method); uses: (class, method, variable) of these methods; calls: (class, method, callee). Methods are linked to the
     least method of each of their variables, so links are linear in the uses, and the components of all classes are
     found at once. A class without methods isn't listed here."""
     by = by or ["class"]
     m = methods.select(*by, "method").distinct().withColumn("node", _key([*by, "method"]))
-    u = uses.select(*by, "method", "variable").distinct().withColumn("node", _key([*by, "method"])).join(m.select("node"), "node", "left_semi")
-    hubs = u.groupBy(*by, "variable").agg(F.min("node").alias("hub"))
-    links = u.join(hubs, [*by, "variable"]).where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+    u = uses.select(*by, "variable", _key([*by, "method"]).alias("node"))
+    hubs = u.groupBy(*by, "variable").agg(F.min("node").alias("hub"), F.max("node").alias("other"))
+    # most variables have one method and link nothing
+    links = u.join(hubs.where("hub <> other").drop("other"), [*by, "variable"]).where("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
     if calls is not None:
         c = calls.select(_key([*by, "method"]).alias("src"), _key([*by, "callee"]).alias("dst")).where("src <> dst")
         links = links.unionByName(c.join(m.select(F.col("node").alias("src")), "src", "left_semi").join(m.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    comp = components(m.select("node"), links.distinct())
-    parts = m.join(comp, "node").groupBy(*by, "component").agg(F.array_sort(F.collect_set("method")).alias("group"), F.count("*").alias("n"))
-    out = parts.groupBy(*by).agg(F.sum("n").alias("methods"), F.count("*").alias("lcom4"), F.array_sort(F.collect_list("group")).alias("groups"))
-    return out.join(u.groupBy(*by).agg(F.count_distinct("variable").alias("variables")), by, "left").fillna({"variables": 0})
+    links = cut(links.distinct())  # most methods of most classes are on their own: only the linked ones are searched
+    comp = components(links.select(F.col("src").alias("node")).union(links.select("dst")), links)
+    parts = m.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).groupBy(*by, "component").agg(F.sort_array(F.collect_set("method")).alias("group"), F.count("*").alias("n"))
+    out = parts.groupBy(*by).agg(F.sum("n").alias("methods"), F.count("*").alias("lcom4"), F.sort_array(F.collect_list("group")).alias("groups"))
+    return out.join(hubs.groupBy(*by).agg(F.count("*").alias("variables")), by, "left").fillna({"variables": 0})
 
 
 def cohesion(classes: DataFrame, methods: DataFrame, uses: DataFrame, fields: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def coupling(deps: DataFrame, kinds: list[str] | None = None, by: list[str] | No
     One row a class and dependency is made first, with a flag for each kind, so nothing is expanded by kind."""
     by, kinds = by or CLASS, kinds or KINDS
     flat = deps.groupBy(*by, "dependency").agg(*[F.max((F.col("kind") == k).cast("int")).alias(k) for k in kinds])
-    return flat.groupBy(*by).agg(F.count("*").alias("cbo"), *[F.sum(k).alias(f"kind_{k.lower()}") for k in kinds], F.array_sort(F.collect_list("dependency")).alias("dependencies"))
+    return flat.groupBy(*by).agg(F.count("*").alias("cbo"), *[F.sum(k).alias(f"kind_{k.lower()}") for k in kinds], F.sort_array(F.collect_list("dependency")).alias("dependencies"))
 
 
 def class_coupling(classes: DataFrame, deps: DataFrame) -> DataFrame:
@@ -101,7 +104,7 @@ def class_summary(df: DataFrame, value: str, tops: list[int]) -> DataFrame:
     n = lambda r: F.count_if(F.col("risk") == r).alias(f"{r}_risk")
     label = S.bucket(F.col(value), tops)
     one = df.agg(F.count("*").alias("classes"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), n("low"), n("medium"), n("high"))
-    bars = df.groupBy(label.alias("bucket")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("histogram"))
+    bars = df.groupBy(label.alias("bucket")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "n")))).alias("histogram"))
     return one.crossJoin(bars)  # one row each
 
 

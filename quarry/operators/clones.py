@@ -53,7 +53,7 @@ def word_grams(df: DataFrame, id_col: str, text: str, k: int = 4) -> DataFrame:
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, grams) -> representatives (id, g: sorted gram hashes) of equal sets, and members (id, rep): copies never meet."""
-    hashed = cut(sets.select("id", F.array_sort(F.transform("grams", lambda x: F.xxhash64(x))).alias("g")))
+    hashed = cut(sets.select("id", F.sort_array(F.transform("grams", lambda x: F.xxhash64(x))).alias("g")))
     reps = hashed.groupBy("g").agg(F.min("id").alias("id")).select("id", "g")
     return reps, hashed.join(reps.select(F.col("id").alias("rep"), "g"), "g").select("id", "rep")
 
@@ -273,7 +273,7 @@ def of_two(spark, first: str, second: str) -> DataFrame:
     files = spark.createDataFrame([("a", "a", first.encode()), ("b", "b", second.encode())], "path string, module string, content binary")
     f = P.extract(files, "fragments").where("fragment = 0").withColumn("id", F.col("path"))
     pair = spark.createDataFrame([("a", "b")], "a string, b string")
-    sets = f.select("id", F.array_sort(F.transform(grams(F.col("labels")), lambda x: F.xxhash64(x))).alias("g"))
+    sets = f.select("id", F.sort_array(F.transform(grams(F.col("labels")), lambda x: F.xxhash64(x))).alias("g"))
     cols = ["text", "signals", "literals", "returns", "blocks", "edges", "edge_types", "defs", "pairs", "cross_pairs", "def_kinds", "use_kinds"]
     x = jaccards(pair, sets).withColumnRenamed("similarity", "syntactic").join(trees.structural_pairs(pair, f, 0.0, costs.Costs()).withColumnRenamed("similarity", "structural"), ["a", "b"])
     for e in ("a", "b"):

@@ -29,7 +29,7 @@ def partition_metrics(edges: DataFrame, parts: DataFrame, packages: DataFrame) -
     rows = e.select(F.col("cs").alias("community"), (F.col("cs") == F.col("cd")).cast("long").alias("internal"), (F.col("cs") != F.col("cd")).cast("long").alias("outgoing"), F.lit(0).cast("long").alias("incoming")).unionAll(
         e.where("cs <> cd").select("cd", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(1).cast("long"))
     )
-    n = parts.join(packages.select("node", "package"), "node", "left").groupBy("community").agg(F.count("*").alias("size"), F.array_sort(F.collect_set(F.when(F.col("package") != "", F.col("package")))).alias("packages"))
+    n = parts.join(packages.select("node", "package"), "node", "left").groupBy("community").agg(F.count("*").alias("size"), F.sort_array(F.collect_set(F.when(F.col("package") != "", F.col("package")))).alias("packages"))
     x = n.join(rows.groupBy("community").agg(*[F.sum(c).alias(c) for c in ("internal", "outgoing", "incoming")]), "community", "left").fillna(0)
     x = x.withColumn("external", F.col("outgoing") + F.col("incoming"))
     return x.withColumn("external_ratio", S.ratio(F.col("external"), F.col("internal") + F.col("external")))
@@ -52,8 +52,8 @@ def mismatch(parts: DataFrame, values: DataFrame, value: str) -> DataFrame:
     known = parts.join(values.where(F.col(value).isNotNull() & (F.col(value) != "") & (F.col(value) != "unknown")).select("node", F.col(value).alias("v")), "node").select("community", "v").distinct()
     by_value = known.groupBy("v").agg(F.count("*").alias("n"))
     by_part = known.groupBy("community").agg(F.count("*").alias("n"))
-    a = by_value.agg(S.ratio(F.count_if(F.col("n") == 1), F.count("*")).alias("score"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("v")))).alias("split"))
-    b = by_part.agg(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("community")))).alias("mixed"))
+    a = by_value.agg(S.ratio(F.count_if(F.col("n") == 1), F.count("*")).alias("score"), F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("v")))).alias("split"))
+    b = by_part.agg(F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("community")))).alias("mixed"))
     return a.crossJoin(b)  # one row each
 
 
@@ -61,7 +61,7 @@ def bridges(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """node -> community, cross_edges, targets (sorted), most edges first: both ends of edges between communities."""
     e = placed(edges, parts).where("cs <> cd")
     both = e.select(F.col("src").alias("node"), F.col("cs").alias("community"), F.col("cd").alias("other")).unionAll(e.select("dst", "cd", "cs"))
-    return both.groupBy("node", "community").agg(F.count("*").alias("cross_edges"), F.array_sort(F.collect_set("other")).alias("targets")).orderBy(F.desc("cross_edges"), "node")
+    return both.groupBy("node", "community").agg(F.count("*").alias("cross_edges"), F.sort_array(F.collect_set("other")).alias("targets")).orderBy(F.desc("cross_edges"), "node")
 
 
 def layer_bridges(bridge: DataFrame, dominant_layer: DataFrame) -> DataFrame:
@@ -135,8 +135,8 @@ def review_scope(names: Column) -> Column:
 def context_map(parts: DataFrame, metrics: DataFrame, bridge: DataFrame, most: int = 20) -> DataFrame:
     """A row for each community: modules (capped), module_count, packages, risk, bridges, scope, summary. metrics has
     community, size, packages, incoming, outgoing, risk."""
-    names = parts.groupBy("community").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("every"))
-    over = bridge.groupBy("community").agg(F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("bridge_modules"))
+    names = parts.groupBy("community").agg(F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("every"))
+    over = bridge.groupBy("community").agg(F.sort_array(F.collect_list(F.col("node").cast("string"))).alias("bridge_modules"))
     x = names.join(metrics, "community").join(over, "community", "left").withColumn("bridge_modules", F.coalesce("bridge_modules", F.array().cast("array<string>")))
     cross, n = F.col("incoming") + F.col("outgoing"), F.size("bridge_modules")
     text = F.concat_ws("; ", S.plural(F.col("size"), "module"), S.plural(F.size("packages"), "package"), F.concat(F.lit("risk "), F.col("risk")), S.plural(cross, "cross-community edge"), F.when(n > 0, S.plural(n, "bridge module")))

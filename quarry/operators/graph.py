@@ -157,7 +157,7 @@ def cycle_details(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fan = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
     e = edges.select("src", "dst").distinct().join(scc.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(scc.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst").where("a = b")
     chains = e.groupBy(F.col("a").alias("component")).agg(F.count("*").alias("chains"))
-    x = scc.join(fan, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("modules"), (F.max(F.coalesce("fan_in", F.lit(0))) > 10).alias("has_core"))
+    x = scc.join(fan, "node", "left").groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("node")).alias("modules"), (F.max(F.coalesce("fan_in", F.lit(0))) > 10).alias("has_core"))
     rank = F.when(F.col("has_core") | (F.col("size") >= 10), 3).when(F.col("size") >= 6, 2).when(F.col("size") >= 3, 1).otherwise(0)
     name = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), rank + 1)
     return x.join(chains, "component").withColumn("severity", name).orderBy(F.desc(rank), F.desc("size"), "component")

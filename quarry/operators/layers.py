@@ -159,7 +159,7 @@ def responsibilities(nodes: DataFrame, edges: DataFrame, most: int = 3, severity
     A hub reaches both fan limits (mean plus deviation, at least 2) and has two concerns; more than ``most`` are an overload;
     a hub with more than one beyond that is an error."""
     e = edges.select("src", "dst").distinct()
-    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"), F.array_sort(F.collect_set(concern(F.col("src"), F.col("dst")))).alias("concerns"))
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("fan_out"), F.sort_array(F.collect_set(concern(F.col("src"), F.col("dst")))).alias("concerns"))
     into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
     x = nodes.select("node").join(out, "node", "left").join(into, "node", "left").fillna(0, ["fan_in", "fan_out"]).withColumn("concerns", F.coalesce("concerns", F.array().cast("array<string>")))
     limits = x.agg(fan_limit(F.col("fan_in")).alias("_in"), fan_limit(F.col("fan_out")).alias("_out"))
@@ -178,7 +178,7 @@ def recommendations(compliance: DataFrame, found: DataFrame, cohesion: DataFrame
     none = F.lit(None).cast("string")
     a = row(compliance.where("compliance < 0.6"), "critical", "restructure", F.lit("Major Architecture Restructuring Required"), none)
     n = found.where("severity is not null").groupBy("src").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.when(F.col("n") > 2, F.col("src").cast("string")))).alias("top"))  # violators with three or more: a report's line
+    total = n.agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.when(F.col("n") > 2, F.col("src").cast("string")))).alias("top"))  # violators with three or more: a report's line
     b = row(total.where("total > 10 and size(top) > 0"), "high", "refactor", F.lit("Address Frequent Architecture Violators"), F.array_join("top", ", "))
     c = row(cohesion.where("problematic"), "medium", "restructure", F.concat(F.lit("Improve Cohesion in "), "layer", F.lit(" Layer")), F.col("layer"))
     every = a.unionByName(b).unionByName(c)
@@ -200,7 +200,7 @@ def cycle_advice(cycles: DataFrame, core: DataFrame) -> DataFrame:
     each = top.where("size <= 4").select((F.lit(2) + F.col("k")).alias("rank"), F.when(F.col("size") == 2, two).otherwise(few).alias("text"))
     some = cycles.limit(1)
     first = some.select(F.lit(1).alias("rank"), F.lit("Turn dependencies around with interfaces or abstract base classes").alias("text"))
-    shared = core.agg(F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), ", ").alias("names")).where("names <> ''").select(F.lit(2).alias("rank"), F.concat(F.lit("Modules of several cycles, whose shared parts belong elsewhere: "), "names").alias("text"))
+    shared = core.agg(F.array_join(F.sort_array(F.collect_list(F.col("node").cast("string"))), ", ").alias("names")).where("names <> ''").select(F.lit(2).alias("rank"), F.concat(F.lit("Modules of several cycles, whose shared parts belong elsewhere: "), "names").alias("text"))
     last = some.select(F.explode(F.array(F.struct(F.lit(8).alias("rank"), F.lit("Check that layers are separated").alias("text")), F.struct(F.lit(9).alias("rank"), F.lit("Decouple modules by events").alias("text")))).alias("r")).select("r.*")
     return first.unionByName(shared).unionByName(each).unionByName(last)
 

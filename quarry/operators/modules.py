@@ -118,7 +118,7 @@ def modularity_index(edges_: DataFrame, packages: DataFrame, cyclic: DataFrame)
 
 def matrix(edges_: DataFrame) -> DataFrame:
     """node -> its row of the dependency matrix: a map of the nodes it depends on."""
-    return edges_.groupBy(F.col("src").alias("node")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.col("dst").cast("string").alias("key"), F.lit(True).alias("value"))))).alias("depends_on"))
+    return edges_.groupBy(F.col("src").alias("node")).agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.col("dst").cast("string").alias("key"), F.lit(True).alias("value"))))).alias("depends_on"))
 
 
 def refactoring(metrics: DataFrame, n: int = 10) -> DataFrame:

@@ -89,7 +89,7 @@ def of_cycles(advice: DataFrame) -> DataFrame:
 def of_architecture(violations: DataFrame, shown: int = 3) -> DataFrame:
     """violations: src, dst, severity (error or warning), rule, suggestion. Those of one module, rule and severity are one, with
     the first ``shown`` targets."""
-    g = violations.where("severity is not null").groupBy("src", "rule", "severity", "suggestion").agg(F.array_sort(F.collect_set(F.col("dst").cast("string"))).alias("to"))
+    g = violations.where("severity is not null").groupBy("src", "rule", "severity", "suggestion").agg(F.sort_array(F.collect_set(F.col("dst").cast("string"))).alias("to"))
     n = F.size("to")
     text = F.concat("suggestion", F.when(n == 1, F.concat(F.lit(" (target: "), F.col("to")[0], F.lit(")"))).when(n <= shown, F.concat(F.lit(" (targets: "), F.array_join("to", ", "), F.lit(")"))).otherwise(F.concat(F.lit(" (targets: "), F.array_join(F.slice("to", 1, shown), ", "), F.format_string(" and %d more)", n - shown))))
     level = F.when(F.col("severity").isin("error", "critical"), "critical").otherwise(F.col("severity"))

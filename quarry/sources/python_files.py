@@ -26,6 +26,8 @@ SKIPPED = ["__pycache__", ".git", ".svn", ".hg", ".bzr", "node_modules", ".tox",
 SOURCES, MODULES = ("**/*.py",), ("**/*.py", "**/*.pyi")
 EXCLUDED = ("test_*.py", "*_test.py", "**/tests/**", "**/test/**", "**/testing/**", "**/migrations/**")
 _MB = 1 << 20
+#: Text that is parsed before its rows are passed on.
+BATCH_BYTES = 200_000
 
 
 def matches(path: Column, pattern: str, basename: bool = False) -> Column:
@@ -119,30 +121,47 @@ def _struct(name: str) -> T.StructType:
     return T.StructType.fromDDL(facts.RELATIONS[name][0])
 
 
-def _list_of(rows: list[tuple], kind: pa.StructType) -> pa.ListArray:
-    """The rows of one file as an array of one list."""
-    cols = list(zip(*rows)) if rows else [()] * kind.num_fields
+def _list_of(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+    """A list for each file."""
+    flat = [r for part in rows for r in part]
+    cols = list(zip(*flat)) if flat else [()] * kind.num_fields
     values = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], f.type) for c, f in zip(cols, kind)]
-    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), pa.StructArray.from_arrays(values, fields=list(kind)))
+    ends = [0]
+    for part in rows:
+        ends.append(ends[-1] + len(part))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, fields=list(kind)))
 
 
 def _parser(names: list[str]):
     kinds = {n: to_arrow_type(_struct(n)) for n in names}
 
+    def one(path, module, content, read_err):
+        if read_err is not None:
+            return None, [[] for _ in names]
+        try:
+            source = facts.Source(path, module, content or b"")
+            return None, [list(facts.RELATIONS[n][1](source)) for n in names]
+        except (SyntaxError, ValueError, RecursionError, MemoryError, LookupError) as e:
+            return f"{type(e).__name__}: {e}", [[] for _ in names]
+
+    def out(files):
+        head, errors, rows = zip(*((f[:2] + f[3:4], *one(*f)) for f in files))
+        path, module, read_err = zip(*head)
+        cols = [pa.array(v, pa.string()) for v in (path, module, read_err, errors)] + [_list_of(list(r), kinds[n]) for n, r in zip(names, zip(*rows))]
+        return pa.RecordBatch.from_arrays(cols, ["path", "module", "read_err", "parse_err", *names])
+
     def parse(batches):
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # deep trees are legal
         for b in batches:
+            todo, size = [], 0
             for k in range(b.num_rows):
-                path, module, content, read_err = (b.column(c)[k].as_py() for c in ("path", "module", "content", "read_err"))
-                rows, error = {n: [] for n in names}, None
-                if read_err is None:
-                    try:
-                        source = facts.Source(path, module, content or b"")
-                        rows = {n: list(facts.RELATIONS[n][1](source)) for n in names}
-                    except (SyntaxError, ValueError, RecursionError, MemoryError, LookupError) as e:
-                        rows, error = {n: [] for n in names}, f"{type(e).__name__}: {e}"
-                cols = [pa.array([v], pa.string()) for v in (path, module, read_err, error)] + [_list_of(rows[n], kinds[n]) for n in names]
-                yield pa.RecordBatch.from_arrays(cols, ["path", "module", "read_err", "parse_err", *names])
+                todo.append(tuple(b.column(c)[k].as_py() for c in ("path", "module", "content", "read_err")))
+                size += len(todo[-1][2] or b"")
+                if size >= BATCH_BYTES:  # rows of the trees take far more than the text
+                    yield out(todo)
+                    todo, size = [], 0
+            if todo:
+                yield out(todo)
 
     return parse
 
