@@ -10,7 +10,10 @@ equal anchors at equal places, and only suffixes at anchors need sorting: a spar
 3. In a group the suffixes are sorted deep-shallow: multikey quicksort on eight-byte characters to a shallow depth,
    blind tries for what is still equal there. Each node of the sorted suffixes' tree is a right match; the longest
    left match with an earlier member, found among sorted reversed left parts, decides what is covered. No pairs.
-Hashes of 64 bits decide equality in step 1, bytes in step 3.
+   A group of more than MOST members is not held: its LENGTH-byte strings go on by their hashes, and of equal ones all but
+   the first are covered.
+Hashes decide equality in step 1 and of such strings (64 bits from two polynomials; in step 1 the anchor's own hash has to
+be equal besides), bytes in step 3.
 
 Order is by doc_id, then by the text's 64-bit hash, then start; a null doc_id comes first. So texts that share an id, or
 have none, are documents of their own, named by id and hash. Of rows that repeat both, all but one are covered whole if
@@ -33,6 +36,8 @@ from quarry.llm.textcore import gram_bytes, mix, prefix_hash, span_hash, text_ch
 LENGTH = 100
 GRAM = 24
 SHALLOW = 64
+#: Members of a group that are held and sorted (some 1 KB each); the strings of larger groups are dealt out by their hashes.
+MOST = 100_000
 _REACH = LENGTH - GRAM
 _RIGHT = GRAM + _REACH // 2
 _LEFT = LENGTH - _RIGHT + 1
@@ -257,29 +262,55 @@ def covered(group: list[tuple[tuple[int, int], int, int, bytes]]) -> list[tuple[
     return [(group[m][0], group[m][1] - x, group[m][1] + y) for m, (x, y) in found.items()]
 
 
-SPAN = "doc long, sub long, lo int, hi int"
+SPAN = "doc long, sub long, lo int, hi int, h long"
 
 
-def _compare(batches):
-    """Contexts sorted by (key, doc, sub, pos) -> covered spans."""
-    key, group = None, []
+def _spans(rows):
+    cols = list(zip(*rows)) if rows else [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "sub", "lo", "hi", "h"])
 
-    def close():
+
+def _windows(group: list[tuple[tuple[int, int], int, int, bytes]]):
+    """Every LENGTH-byte string of the contexts, with its hash."""
+    buf = np.frombuffer(b"".join(g[3] for g in group), np.uint8)
+    size = np.array([len(g[3]) for g in group], np.int64)
+    n = np.maximum(size - LENGTH + 1, 0)
+    which = np.repeat(np.arange(len(group)), n)
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[which] + inner
+    h = span_hash(prefix_hash(buf), at, at + LENGTH).view(np.int64)
+    doc, sub, pos, before = (np.array(c, np.int64)[which] for c in zip(*((*d, p, k) for d, p, k, _ in group)))
+    lo = pos - before + inner
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), pa.array(lo.astype(np.int32)), pa.array((lo + LENGTH).astype(np.int32)), pa.array(h)], ["doc", "sub", "lo", "hi", "h"])
+
+
+def _comparer(most: int):
+    """Contexts sorted by (key, doc, sub, pos) -> covered spans; of groups of over ``most`` members the hashed strings (h)."""
+
+    def close(group):
         # equal places of rows that repeat id and text are one
         rows = [g for i, g in enumerate(group) if not i or g[:2] != group[i - 1][:2]]
-        spans = covered(rows) if len(rows) > 1 else []
-        cols = list(zip(*((*d, a, b) for d, a, b in spans))) if spans else [(), (), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "sub", "lo", "hi"])
-
-    for batch in batches:
-        for k, doc, sub, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sub", "pos", "before", "bytes"))):
-            if k != key:
-                if len(group) > 1:
-                    yield close()
-                key, group = k, []
-            group.append(((doc, sub), *row))
-    yield close()
+        return _spans([(*d, a, b, None) for d, a, b in (covered(rows) if len(rows) > 1 else [])])
+
+    def compare(batches):
+        key, group, hot = None, [], False
+        for batch in batches:
+            for k, doc, sub, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sub", "pos", "before", "bytes"))):
+                if k != key:
+                    if group and hot:
+                        yield _windows(group)
+                    elif len(group) > 1:
+                        yield close(group)
+                    key, group, hot = k, [], False
+                group.append(((doc, sub), *row))
+                if len(group) > most:
+                    yield _windows(group)
+                    group, hot = [], True
+        if group:
+            yield _windows(group) if hot else close(group)
+
+    return compare
 
 
 def _cut(batches):
@@ -309,7 +340,7 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(i, F.lit(_NONE)).alias("doc"), F.xxhash64("text").alias("sub"), i.alias("doc_id"), "text")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc, sub, spans: the covered spans of each document that has any."""
     rows = _named(docs).drop("doc_id")
     dealt = rows.mapInArrow(tidied(_anchor_rows), _ROW).repartition("h").sortWithinPartitions("h", "c", "doc", "sub", "pos")
@@ -318,16 +349,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     places = marks.where(F.col("kind") == ANCHOR).groupBy(F.col("doc").alias("_doc"), F.col("sub").alias("_sub")).agg(F.collect_set("pos").alias("places"))
     edges = rows.hint("merge").join(places, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub"))).select("doc", "sub", "text", "places")
     contexts = edges.mapInArrow(tidied(_contexts), CONTEXT).repartition("key").sortWithinPartitions("key", "doc", "sub", "pos")
-    spans = written(contexts.mapInArrow(tidied(_compare), SPAN), "spans")
+    spans = written(contexts.mapInArrow(tidied(_comparer(most)), SPAN), "spans")
     release(docs.sparkSession)
+    strings, spans = spans.where("h is not null"), spans.where("h is null").drop("h")
+    if not strings.isEmpty():
+        # of equal strings all but the first are covered; the first is found by partial sums, then all meet it
+        place = F.struct("doc", "sub", "lo")
+        first = strings.groupBy("h").agg(F.min(place).alias("first"))
+        spans = spans.unionByName(strings.join(first, "h").where(place != F.col("first")).select("doc", "sub", "lo", "hi").distinct())
     whole = marks.where(F.col("kind") == COVER).select("doc", "sub", (F.col("pos") - _REACH).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
     return spans.unionByName(whole).groupBy("doc", "sub").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     small_batches(docs.sparkSession)
-    spans = repeats(docs).select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), "spans")
+    spans = repeats(docs, most).select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), "spans")
     both = _named(docs).hint("merge").join(spans, (F.col("doc") == F.col("_doc")) & (F.col("sub") == F.col("_sub")), "left")
     nth = F.row_number().over(Window.partitionBy("doc", "sub").orderBy("doc"))  # of rows that repeat id and text; the join deals and sorts for it
     return both.select("doc_id", "text", "spans", nth.alias("nth")).mapInArrow(tidied(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -69,8 +69,9 @@ def test_suffix_dedup_tells_rows_apart(spark):
     order.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     data = [(t or "").encode() for _, _, t in order]
     want = [(i, len(t), int(g.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for (i, _, _), t, g in zip(order, data, plain.repeated_bytes(data))]
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    for most in (suffix_dedup.MOST, 2, 1):  # groups that are held, and groups whose strings are dealt out
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df, most).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_license_notices_that_stand_close(spark):
@@ -103,3 +104,14 @@ def test_stages_keep_columns_that_clash(spark):
         for r in out.collect():
             assert all(r[name] == r.n * k for k, name in enumerate(CLASHING)) and r["a.b"] == "x"
     assert sorted(r.n for r in decontaminate.stage(df, bench).collect()) == [0, 1, 2, 3, 4, 6, 8]
+
+
+def test_a_passage_that_many_share(spark):
+    """Its edges make one group of all documents, which is dealt out by strings."""
+    passage = prose(70)
+    texts = [prose(R.randrange(12)) + passage[: R.randrange(200, len(passage))] + " " + prose(R.randrange(12)) for _ in range(60)] + [passage[50:], passage]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = [t.encode() for t in texts]
+    want = {i: (int(g.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()) for i, (t, g) in enumerate(zip(data, plain.repeated_bytes(data)))}
+    for most in (suffix_dedup.MOST, 7):
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df, most).collect()} == want
