@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.store import new_folder, release, small_batches
-from quarry.llm.textcore import member, mix, text_chunks, tidied
+from quarry.llm.textcore import mix, text_chunks, tidied
 
 END_ID = 2
 SHARD_BYTES = 24_000_000
 #: Pre-tokens that a worker remembers (some 40 bytes each), and ids above which one isn't kept.
 CACHE_WORDS, LONG = 400_000, 64
+#: New ones that are kept apart before they are merged with the others.
+RECENT = 65_536
 #: Pre-tokens that are encoded in one string.
 RUN_WORDS = 500
 _HEAD = struct.Struct("<QI")
@@ -154,8 +156,8 @@ class Encoder:
     """Encodes texts with the tokenizers library; pre-tokens it has met before are looked up.
 
     Merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in a row. New ones are encoded many to a
-    string, a line feed between them, which is a pre-token of its own. They are known by 64-bit hashes of their bytes,
-    in sorted arrays. Beyond CACHE_WORDS the half that was met least often goes, and so do long ones.
+    string, a line feed between them, which is a pre-token of its own. They are known by 64-bit hashes of their bytes.
+    Beyond CACHE_WORDS the half that was met least often goes, and so do long ones.
     Vocabularies whose split isn't the one of ``pieces``, and texts that aren't UTF-8, are encoded text by text.
     """
 
@@ -174,9 +176,37 @@ class Encoder:
         if self.split:  # for pre-tokens that are cut already
             self.known = Tokenizer.from_file(path)
             self.known.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.keys = np.zeros(0, np.uint64)
-        self.at, self.n, self.met = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self._start(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+
+    def _start(self, key: np.ndarray, n: np.ndarray, met: np.ndarray, ids: np.ndarray):
+        """Entries (hash, count of ids, how often it was met) and their ids, one after another; more are appended to them.
+
+        Two sorted lists of hashes lead to entries: a large one and a small one of what is new, so that a chunk's new
+        pre-tokens don't move all others."""
+        self.size, self.used = len(key), len(ids)
+        self.key, self.n, self.met, self.ids = key, n, met, ids
+        ends = np.cumsum(n, dtype=np.int64)
+        self.at = ends - n
+        order = np.argsort(key)
+        self.levels = [(key[order], order), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def _append(self, name: str, more: np.ndarray, used: int):
+        old = getattr(self, name)
+        if used + len(more) > len(old):
+            old = np.concatenate([old[:used], np.empty(max(len(more), used, 1 << 14), old.dtype)])
+            setattr(self, name, old)
+        old[used : used + len(more)] = more
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of sorted hashes; -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, entry in self.levels:
+            if len(known):
+                at = np.searchsorted(known, keys)
+                at[at == len(known)] = 0
+                hit = known[at] == keys
+                out[hit] = entry[at[hit]]
+        return out
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the strings, one after another, and the count of each."""
@@ -203,32 +233,36 @@ class Encoder:
         blank = (c[s] == _SPACE) & ((e - s == 1) | (buf[s] != 0x20) | (c[np.minimum(s + 1, len(c) - 1)] == _SPACE))
         if self.feed is None:
             blank[:] = True
-        every, at, counts, ids = [self.keys], [self.at], [self.n], [self.ids]
-        used = len(self.ids)
+        entry = np.empty(len(keys), np.int64)
         for some, plain in ((blank, False), (~blank, True)):
             if some.any():
                 a, b = s[some], e[some]
                 more, n = self._encode_plain(buf, a, b) if plain else self._encode([buf[x:y].tobytes().decode() for x, y in zip(a.tolist(), b.tolist())])
-                every.append(keys[some])
-                at.append(used + np.cumsum(n) - n)
-                counts.append(n)
-                ids.append(more)
-                used += len(more)
-        joined = np.concatenate(every)
-        order = np.argsort(joined, kind="stable")  # sorted runs merge
-        self.keys, self.at, self.n, self.ids = joined[order], np.concatenate(at)[order], np.concatenate(counts)[order].astype(np.int32), np.concatenate(ids)
-        self.met = np.concatenate([self.met, np.zeros(len(order) - len(self.met), np.int32)])[order]
+                entry[some] = np.arange(self.size, self.size + len(n))
+                for name, values in (("key", keys[some]), ("n", n), ("met", np.zeros(len(n), np.int32)), ("at", self.used + np.cumsum(n) - n)):
+                    self._append(name, values, self.size)
+                self._append("ids", more, self.used)
+                self.size, self.used = self.size + len(n), self.used + len(more)
+        big, small = self.levels[0], self._merged(self.levels[1], (keys, entry))
+        self.levels = [big, small] if len(small[0]) < RECENT else [self._merged(big, small), (keys[:0], entry[:0])]
+
+    @staticmethod
+    def _merged(a, b):
+        key = np.concatenate([a[0], b[0]])
+        order = np.argsort(key, kind="stable")  # sorted runs merge
+        return key[order], np.concatenate([a[1], b[1]])[order]
 
     def _sweep(self):
         most = CACHE_WORDS // 2
-        keep = self.n <= LONG
+        n, met = self.n[: self.size], self.met[: self.size]
+        keep = n <= LONG
         if np.count_nonzero(keep) > most:
             at = np.flatnonzero(keep)
-            keep[at[np.argpartition(-self.met[at], most)[most:]]] = False
-        self.keys, old, self.n, self.met = self.keys[keep], self.at[keep], self.n[keep], self.met[keep] // 2
-        ends = np.cumsum(self.n, dtype=np.int64)
-        self.at = ends - self.n
-        self.ids = self.ids[np.repeat(old - self.at, self.n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            keep[at[np.argpartition(-met[at], most)[most:]]] = False
+        old, n = self.at[: self.size][keep], n[keep]
+        ends = np.cumsum(n, dtype=np.int64)
+        ids = self.ids[np.repeat(old - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._start(self.key[: self.size][keep], n, met[keep] // 2, ids)
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk's texts, and the count of each text."""
@@ -254,16 +288,17 @@ class Encoder:
         which = np.empty(len(h), np.int64)
         which[order] = np.cumsum(lead) - 1
         keys, some, at = h[lead], order[lead], np.flatnonzero(lead)
-        new = ~member(keys, self.keys)
+        k = self._find(keys)
+        new = k < 0
         if new.any():
             self._learn(keys[new], buf, s[some[new]], e[some[new]], c)
-        k = np.searchsorted(self.keys, keys)
+            k[new] = self._find(keys[new])
         self.met[k] += np.diff(at, append=len(h)).astype(np.int32)
         n = self.n[k].astype(np.int64)[which]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(self.at[k][which] - (ends - n), n) + np.arange(ends[-1])]
         per = np.concatenate([[0], ends])[np.searchsorted(s, off, "left")]
-        if len(self.keys) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
+        if self.size > CACHE_WORDS or self.used > 8 * CACHE_WORDS:
             self._sweep()
         return ids, np.diff(per)
 

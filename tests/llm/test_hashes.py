@@ -57,6 +57,7 @@ def test_encoder_is_the_library(monkeypatch, cache):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_output, "CACHE_WORDS", cache)
+    monkeypatch.setattr(token_output, "RECENT", min(cache, 300))
     tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(5)
     encode = token_output.Encoder(tokenizer_path())
     signs = "ab é'sdtm lre\n\t  日12!?_-"
