@@ -28,8 +28,8 @@ from quarry.llm.textcore import mix, text_chunks, tidied
 
 END_ID = 2
 SHARD_BYTES = 24_000_000
-#: Pre-tokens that a worker remembers (some 40 bytes each), and ids above which one isn't kept.
-CACHE_WORDS, LONG = 400_000, 64
+#: Pre-tokens that a worker remembers (some 60 bytes each), and ids above which one isn't kept.
+CACHE_WORDS, LONG = 600_000, 64
 #: New ones that are kept apart before they are merged with the others.
 RECENT = 65_536
 #: Pre-tokens that are encoded in one string.
