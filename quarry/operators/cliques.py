@@ -5,9 +5,9 @@ Documents with equal sets are one class, which takes part as its least id. Then,
 1. Each set's rarest grams (in one fixed order: grams that chunks of texts have seen often come last, others by hash) are
    its prefix; two sets at the threshold share a gram of both prefixes at which enough grams are left (prefix and
    positional filters). The order decides the cost alone.
-2. In each gram's list, neighbours by size are held against each other; what may be similar gets one label. Then
-   all pairs of a list with different labels are held against each other, so every pair at the threshold has one label
-   in the end. A pair is ruled out here by a bound that is never too low: the grams of both sets, counted by hash.
+2. In each gram's list, neighbours by size are held against each other; what may be similar gets one label. In the last
+   round all pairs of a list with different labels are held against each other, so every pair at the threshold has one
+   label in the end. A pair is ruled out here by a bound that is never too low: the grams of both sets, counted by hash.
 3. A label's sets go to one task, which finds their similarities by an inverted index and joins groups. It keeps a
    bit a pair of sets and at most about PAIRS pairs at once, the best first, and goes over the sets again for the rest.
 
@@ -16,6 +16,8 @@ Sets and grams are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ LETTERS = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
 OFTEN, LAST = 3, 100_000
 #: Pairs that a task holds at once.
 PAIRS = 8_000_000
+#: How far apart the rows of a list may be whose pairs are tried in each round; the last tries all that are left.
+ROUNDS = (8, 64, None)
 #: Links whose components one task finds.
 FEW = 4_000_000
 _FULL = 15
@@ -338,25 +342,32 @@ def complete_documents(docs: DataFrame, id_col: str, text: str, threshold: float
     sketches = rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
 
     def possible(pairs: DataFrame) -> DataFrame:
-        p = written(pairs.distinct(), "pairs")
-        ends = p.select(F.col("a").alias("key")).unionByName(p.select(F.col("b").alias("key"))).distinct()
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         known = written(sketches.join(ends, "key", "left_semi"), "sketches")
-        x = p.join(known.toDF("a", "na", "sa"), "a").join(known.toDF("b", "nb", "sb"), "b")
+        x = pairs.join(known.toDF("a", "na", "sa"), "a").join(known.toDF("b", "nb", "sb"), "b")
         out = written(x.mapInArrow(tidied(_possible(threshold)), "a long, b long"), "links")
-        dropped(p, known)
+        dropped(known)
         release(spark)
         return out
 
     def listed(df: DataFrame) -> DataFrame:
         return df.repartition("gram").sortWithinPartitions("gram", "n", "key")
 
-    links = possible(listed(entries).mapInArrow(tidied(_pairs(threshold, 1)), "a long, b long"))
-    labels = _named(links)
-    marked = entries.join(labels, "key", "left").select("gram", "key", "n", "at", F.coalesce("label", "key").alias("label"))
-    more = possible(listed(marked).mapInArrow(tidied(_pairs(threshold, None)), "a long, b long"))
-    dropped(labels, entries)
-    labels = _named(links.unionByName(more))
-    dropped(links, more)
+    found, tested, labels = [], [], None
+    for lags in ROUNDS:
+        marked = entries
+        if labels is not None:
+            marked = entries.join(labels, "key", "left").select("gram", "key", "n", "at", F.coalesce("label", "key").alias("label"))
+        pairs = listed(marked).mapInArrow(tidied(_pairs(threshold, lags)), "a long, b long").distinct()
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        release(spark)
+        tested.append(pairs)
+        found.append(possible(pairs))
+        dropped(*[x for x in [labels] if x is not None])
+        labels = _named(reduce(DataFrame.unionByName, found))
+    dropped(entries, *tested, *found)
 
     reps = written(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id")), "reps")
     wanted = reps.join(labels, "key").select(F.col("id").alias("_id"), F.col("key").alias("wanted"), "label")
