@@ -3,11 +3,12 @@
 Documents with equal sets are one class, which takes part as its least id. Then, of classes:
 
 1. Each set's rarest grams (in one fixed order: grams that chunks of texts have seen often come last, others by hash) are
-   its prefix; two sets at the threshold share a gram of both prefixes at which enough grams are left (prefix and
-   positional filters). The order decides the cost alone.
+   its prefix; two sets at the threshold share a number of grams of both prefixes that follows from their sizes, at
+   places that are not too far apart (prefix, count and positional filters). The order decides the cost alone.
 2. In each gram's list, neighbours by size are held against each other; what may be similar gets one label. In the last
    round all pairs of a list with different labels are held against each other, so every pair at the threshold has one
-   label in the end. A pair is ruled out here by a bound that is never too low: the grams of both sets, counted by hash.
+   label in the end. A pair is ruled out here by how many lists it shares (fewer than all are seen before the last
+   round, which tries it again) and by a bound that is never too low: the grams of both sets, counted by hash.
 3. A label's sets go to one task, which finds their similarities by an inverted index and joins groups. It keeps a
    bit a pair of sets and at most about PAIRS pairs at once, the best first, and goes over the sets again for the rest.
 
@@ -37,6 +38,8 @@ PAIRS = 8_000_000
 ROUNDS = (8, 64, None)
 #: Links whose components one task finds.
 FEW = 4_000_000
+#: Labels that are sent to every task; more are joined.
+SENT = 2_000_000
 _FULL = 15
 
 
@@ -141,9 +144,16 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v[many]) for v in now.values()], list(now))
 
 
+def _least_shared(na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many grams two sets at the threshold share, at least, and how many of these are in both prefixes: a set has at most
+    its size less the first that the other lacks, and the prefix that ends first in the order has all the others."""
+    both = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9).astype(np.int64)
+    return both, both - np.ceil(threshold * np.maximum(na, nb) - 1e-9).astype(np.int64) + 1
+
+
 def _pairs(threshold: float, lags: int | None):
     """Pairs (a < b) of a list, sorted by size, that their places and sizes don't rule out: of rows at most ``lags`` apart, or of all
-    with different labels."""
+    with different labels. ``need``: in how many lists a pair at the threshold is."""
 
     def run(batches):
         for now in _lists(batches):
@@ -158,11 +168,13 @@ def _pairs(threshold: float, lags: int | None):
                 if not len(left):
                     break
                 other = left + lag
-                fit = 1 + np.minimum(n[left] - 1 - at[left], n[other] - 1 - at[other]) >= threshold / (1 + threshold) * (n[left] + n[other]) - 1e-9
+                both, need = _least_shared(n[left], n[other], threshold)
+                # what both may share before this gram, it, and after it
+                fit = np.minimum(at[left], at[other]) + 1 + np.minimum(n[left] - 1 - at[left], n[other] - 1 - at[other]) >= both
                 fit &= label[left] != label[other]
                 a, b = key[left[fit]], key[other[fit]]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need[fit], pa.int32())], ["a", "b", "need"])
 
     return run
 
@@ -178,12 +190,14 @@ def _possible(threshold: float):
 
 
 class Linkage:
-    """Groups of 0..n-1 under merges. ``near`` has a bit for each item that is similar to all members of a group."""
+    """Groups of 0..n-1 under merges. ``near`` has a bit for each item that is similar to all members of a group; ``links`` is the
+    number of others that an item is similar to."""
 
     def __init__(self, n: int):
         self.group = np.arange(n)
         self.members = [np.array([i]) for i in range(n)]
         self.near = np.zeros((n, (n + 7) // 8), np.uint8)
+        self.links = np.zeros(n, np.int64)
         self.apart: set = set()
 
     def bits(self, group, item):
@@ -212,8 +226,13 @@ class Linkage:
 
 
 def complete(sets: list[np.ndarray], threshold: float, most: int = PAIRS) -> np.ndarray:
-    """For sets, in the order of their names: the least member of each one's group. The most similar pairs come first, of equals
-    those that are first by name; the groups of a pair are joined if all of their sets are similar."""
+    """For sets, in the order of their names: the least member of each one's group."""
+    return linkage(sets, threshold, most).group
+
+
+def linkage(sets: list[np.ndarray], threshold: float, most: int = PAIRS) -> Linkage:
+    """Of sets, in the order of their names. The most similar pairs come first, of equals those that are first by name; the groups
+    of a pair are joined if all of their sets are similar."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     doc = np.repeat(np.arange(n), size)
@@ -232,6 +251,7 @@ def complete(sets: list[np.ndarray], threshold: float, most: int = PAIRS) -> np.
             if first:
                 near = sims >= threshold
                 near[i] = True
+                out.links[i] = near.sum() - 1
                 out.near[i] = np.packbits(near, bitorder="little")
             j = i + 1 + np.flatnonzero((sims[i + 1 :] >= low) & (sims[i + 1 :] < high))
             if not first and len(j):
@@ -249,17 +269,17 @@ def complete(sets: list[np.ndarray], threshold: float, most: int = PAIRS) -> np.
             order = np.lexsort((b, a, -s))
             out.join(a[order], b[order])
         if low <= threshold:
-            return out.group
+            return out
         high, first = low, False
 
 
 def _link(threshold: float):
-    """Rows sorted by label and id, with their sets -> key, head: the key of the group's first."""
+    """Rows sorted by label and id, with their sets -> key, head: the key of the group's first, links: similar sets."""
 
     def close(keys, sets):
-        found = complete(sets, threshold) if len(sets) > 1 else np.zeros(len(sets), int)
+        found = linkage(sets, threshold) if len(sets) > 1 else Linkage(1)
         keys = np.array(keys, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[found])], ["key", "head"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[found.group]), pa.array(found.links)], ["key", "head", "links"])
 
     def run(batches):
         now, keys, sets = None, [], []
@@ -322,8 +342,9 @@ def _named(links: DataFrame) -> DataFrame:
 
 
 def complete_documents(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
-    """node, rep, group: for each document the least id with its set of grams, and the least of its group by complete linkage of these
-    sets. A text of fewer than four words has no set and is alone, as a null one is."""
+    """node, rep, group, links: for each document the least id with its set of grams, the least of its group by complete linkage of these
+    sets, and how many other sets its own is similar to, in its group or not. A text of fewer than four words has no set and is
+    alone, as a null one is."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text)).alias("text"))
@@ -357,8 +378,9 @@ def complete_documents(docs: DataFrame, id_col: str, text: str, threshold: float
     for lags in ROUNDS:
         marked = entries
         if labels is not None:
-            marked = entries.join(labels, "key", "left").select("gram", "key", "n", "at", F.coalesce("label", "key").alias("label"))
-        pairs = listed(marked).mapInArrow(tidied(_pairs(threshold, lags)), "a long, b long").distinct()
+            marked = entries.join(F.broadcast(labels) if labels.count() <= SENT else labels, "key", "left").select("gram", "key", "n", "at", F.coalesce("label", "key").alias("label"))
+        pairs = listed(marked).mapInArrow(tidied(_pairs(threshold, lags)), "a long, b long, need int")
+        pairs = pairs.groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -372,9 +394,9 @@ def complete_documents(docs: DataFrame, id_col: str, text: str, threshold: float
     reps = written(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id")), "reps")
     wanted = reps.join(labels, "key").select(F.col("id").alias("_id"), F.col("key").alias("wanted"), "label")
     sets = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "label", "wanted").mapInArrow(tidied(_own), f"id {kind}, label long, wanted long, key long, own binary")
-    linked = sets.where("key = wanted").repartition("label").sortWithinPartitions("label", "id", "key").mapInArrow(tidied(_link(threshold)), "key long, head long")
+    linked = sets.where("key = wanted").repartition("label").sortWithinPartitions("label", "id", "key").mapInArrow(tidied(_link(threshold)), "key long, head long, links long")
     linked = written(linked, "linked")
-    heads = linked.join(reps.select(F.col("key").alias("head"), F.col("id").alias("group")), "head").select("key", "group")
-    named = reps.join(heads, "key", "left").select("key", F.col("id").alias("rep"), F.coalesce("group", "id").alias("group"))
+    heads = linked.join(reps.select(F.col("key").alias("head"), F.col("id").alias("group")), "head").select("key", "group", "links")
+    named = reps.join(heads, "key", "left").select("key", F.col("id").alias("rep"), F.coalesce("group", "id").alias("group"), "links")
     out = rows.select(F.col("id").alias("node"), F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
-    return out.select("node", F.coalesce("rep", "node").alias("rep"), F.coalesce("group", "node").alias("group"))
+    return out.select("node", F.coalesce("rep", "node").alias("rep"), F.coalesce("group", "node").alias("group"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

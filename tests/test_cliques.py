@@ -108,3 +108,39 @@ def test_labels_of_links(spark, monkeypatch, few):
         for a, b in links:
             low[a] = low[b] = min(low[a], low[b])
     assert {x.key: x.label for x in Q._named(df).collect()} == low
+
+
+def test_links_that_the_groups_leave_out_are_counted(spark, tmp_path):
+    """The first and the last of a chain are not similar, so a group leaves one of its links out."""
+    base = [f"w{i}" for i in range(64)]
+    docs = {1: base, 2: base[:50] + ["x"] * 3, 3: base[:44], 4: base[:38], 5: base[:38], 6: ["y"] * 9, 7: [], 8: ["a", "b"]}
+    docs = {i: " ".join(w) for i, w in docs.items()}
+    r = random.Random(5)
+    more = [words(r, n) for n in (5, 9, 30, 80, 200) for _ in range(3)]
+    docs |= {20 + i: " ".join(changed(r, b, r.randrange(1 + len(b) // 10))) for i, b in enumerate(more * 8)}
+    sets, found = {i: grams(t) for i, t in docs.items()}, linked(docs)
+    own = {x for i, (x, _) in found.items() if sets[i]}
+    near = {i: [j for j in own if sets[j] != s and len(sets[j] & s) >= T * len(sets[j] | s)] if s else [] for i, s in sets.items()}
+    assert any(found[i][1] != found[j][1] for i, n in near.items() for j in n)
+    spark.createDataFrame(sorted(docs.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = texts.clone_cliques(spark, str(tmp_path)).collect()
+    assert {x.node: (x.rep, x["group"], x.links) for x in rows} == {i: (*found[i], len(near[i])) for i in docs}
+
+
+def test_pairs_at_the_threshold_share_enough_of_their_prefixes():
+    """In any order, and just at the threshold."""
+    r = np.random.default_rng(3)
+    for _ in range(3000):
+        nb = int(r.integers(1, 90))
+        na = int(r.integers(int(np.ceil(T * nb)), nb + 1))
+        k = int(np.ceil(T * (na + nb) / (1 + T) - 1e-9))
+        order = r.permutation(na + nb - k)
+        a, b = np.sort(np.concatenate([order[:k], order[k:na]])), np.sort(np.concatenate([order[:k], order[na:]]))
+        assert k / (na + nb - k) >= T and len(b) == nb
+        both, need = (int(x[0]) for x in Q._least_shared(np.array([na]), np.array([nb]), T))
+        p, q = (x[: len(x) - int(np.ceil(T * len(x) - 1e-9)) + 1] for x in (a, b))
+        shared = np.intersect1d(p, q)
+        assert both == k and 1 <= need <= len(shared)
+        for g in shared:
+            x, y = np.searchsorted(a, g), np.searchsorted(b, g)
+            assert min(x, y) + 1 + min(na - 1 - x, nb - 1 - y) >= k
