@@ -38,6 +38,8 @@ PAIRS = 8_000_000
 ROUNDS = (8, 64, None)
 #: Links whose components one task finds.
 FEW = 4_000_000
+#: Grams that a pair's prefixes share; more are not asked for, as longer prefixes make more pairs.
+ENOUGH = 8
 #: Labels that are sent to every task; more are joined.
 SENT = 2_000_000
 _FULL = 15
@@ -145,10 +147,11 @@ def _shared(batches):
 
 
 def _least_shared(na: np.ndarray, nb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """How many grams two sets at the threshold share, at least, and how many of these are in both prefixes: a set has at most
-    its size less the first that the other lacks, and the prefix that ends first in the order has all the others."""
+    """How many grams two sets at the threshold share, at least (both), and how many of these (need) are among the first
+    n - both + need of each: a set has at most n - both that the other lacks, and of these two prefixes the one that ends first
+    in the order has no more, and lies within the other. Prefixes that are kept are long enough."""
     both = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9).astype(np.int64)
-    return both, both - np.ceil(threshold * np.maximum(na, nb) - 1e-9).astype(np.int64) + 1
+    return both, np.minimum(ENOUGH, both - np.ceil(threshold * np.maximum(na, nb) - 1e-9).astype(np.int64) + 1)
 
 
 def _pairs(threshold: float, lags: int | None):
@@ -169,8 +172,9 @@ def _pairs(threshold: float, lags: int | None):
                     break
                 other = left + lag
                 both, need = _least_shared(n[left], n[other], threshold)
+                fit = np.maximum(at[left] - n[left], at[other] - n[other]) < need - both
                 # what both may share before this gram, it, and after it
-                fit = np.minimum(at[left], at[other]) + 1 + np.minimum(n[left] - 1 - at[left], n[other] - 1 - at[other]) >= both
+                fit &= np.minimum(at[left], at[other]) + 1 + np.minimum(n[left] - 1 - at[left], n[other] - 1 - at[other]) >= both
                 fit &= label[left] != label[other]
                 a, b = key[left[fit]], key[other[fit]]
                 if len(a):

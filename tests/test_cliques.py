@@ -138,8 +138,9 @@ def test_pairs_at_the_threshold_share_enough_of_their_prefixes():
         a, b = np.sort(np.concatenate([order[:k], order[k:na]])), np.sort(np.concatenate([order[:k], order[na:]]))
         assert k / (na + nb - k) >= T and len(b) == nb
         both, need = (int(x[0]) for x in Q._least_shared(np.array([na]), np.array([nb]), T))
-        p, q = (x[: len(x) - int(np.ceil(T * len(x) - 1e-9)) + 1] for x in (a, b))
-        shared = np.intersect1d(p, q)
+        kept = [len(x) - int(np.ceil(T * len(x) - 1e-9)) + 1 for x in (a, b)]
+        assert all(len(x) - k + need <= n for x, n in zip((a, b), kept))
+        shared = np.intersect1d(a[: na - k + need], b[: nb - k + need])
         assert both == k and 1 <= need <= len(shared)
         for g in shared:
             x, y = np.searchsorted(a, g), np.searchsorted(b, g)
